@@ -18,3 +18,14 @@ def farm_aggregate(data: DataFrame, unit: str, min_fraction: float = 0.8, keys:
     total = n_units if n_units is not None else data.agg(F.countDistinct(unit)).scalar()
     out = data.groupBy(*keys, "b").agg(F.avg("x").alias("_m"), F.count("x").alias("units"))
     return out.withColumn("x", F.when(F.col("units") >= F.ceil(min_fraction * total), F.col("_m"))).drop("_m")
+
+
+def gap_sessions(df: DataFrame, keys: list[str], us: str, gap_us: int, chunk_us: int | None = None) -> DataFrame:
+    """Group rows whose distance to the previous row is at most ``gap_us``; start, end and count per group."""
+    from ramplake.operators.chunks import running
+
+    size = chunk_us or max(86_400_000_000, 4 * gap_us)
+    out = running(df, keys, us, {"_prev": ("last", F.col(us))}, size=size, strict=True)
+    fresh = F.when(F.col("_prev").isNull() | (F.col(us) - F.col("_prev") > gap_us), F.col(us))
+    out = running(out, keys, us, {"session": ("last", fresh)}, size=size)
+    return out.groupBy(*keys, "session").agg(F.min(us).alias("start"), F.max(us).alias("end"), F.count("*").alias("n")).drop("session")

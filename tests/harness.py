@@ -22,14 +22,14 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
 
     def cell(v):
-        if v is None or v is pd.NaT:
+        if v is None or v is pd.NaT or v is pd.NA:
             return ""
         if isinstance(v, float) or hasattr(v, "dtype") and v.dtype.kind == "f":
             return "" if math.isnan(v) else f"{float(v) + 0.0:.5g}"
         if isinstance(v, bool) or str(type(v)).endswith("bool_'>") or str(type(v)).endswith("numpy.bool'>"):
             return str(bool(v))
         if hasattr(v, "__index__"):
-            return f"{float(int(v)):.5g}" if False else str(int(v))
+            return str(int(v))
         return str(v)
 
     return sorted(tuple(cell(v) for v in row) for row in df.astype(object).itertuples(index=False, name=None))
