@@ -44,6 +44,23 @@ def first_passage(path: str | Column, thr: float | Column, direction: str = "dow
     return out.otherwise(F.lit(n - 1))
 
 
+def excursion_arrays(path: str | Column, n: int = PATH_NODES) -> dict[str, Column]:
+    """Both excursion lists as array columns ``ups`` and ``downs``, for use with many thresholds."""
+    ups, downs = excursions(path, n)
+    return {"ups": F.array(*ups), "downs": F.array(*downs)}
+
+
+def class_at(thr: Column, tol: float = THRESHOLD_TOL) -> Column:
+    cut = thr - tol
+    return (F.array_max("ups") >= cut).cast("int") + 2 * (F.array_max("downs") >= cut).cast("int")
+
+
+def passage_at(thr: Column, direction: str = "down", n: int = PATH_NODES, tol: float = THRESHOLD_TOL) -> Column:
+    hits = F.transform("ups" if direction == "up" else "downs", lambda v: v >= thr - tol)
+    first = F.array_position(hits, F.lit(True)).cast("int")
+    return F.when(first > 0, first - 1).otherwise(n - 1)
+
+
 def mean(values: list[Column]) -> Column:
     total = values[0]
     for v in values[1:]:

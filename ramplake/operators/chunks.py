@@ -44,6 +44,7 @@ def windowed(
     after: int,
     *stages: Callable[[WindowSpec], dict[str, Column]],
     size: int | None = None,
+    ties: tuple[str, ...] = (),
 ) -> DataFrame:
     """Add columns from frames that look back ``before`` and ahead ``after`` index units in total.
 
@@ -51,7 +52,7 @@ def windowed(
     """
     size = size or max(CHUNK, 8 * (before + after))
     out = with_halo(df, idx, before, after, size)
-    window = W.partitionBy(*keys, "_chunk").orderBy(idx)
+    window = W.partitionBy(*keys, "_chunk").orderBy(idx, *ties)
     for stage in stages:
         out = out.withColumns(stage(window))
     return out.filter("_own").drop("_chunk", "_own")

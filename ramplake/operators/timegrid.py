@@ -154,12 +154,21 @@ def ramp_abs(df: DataFrame, keys: list[str], width: int = 6, x: str = "x") -> Da
     return windowed(df, keys, "b", width, 0, step, cols)
 
 
-def valid_runs(series: DataFrame, keys: list[str], ok: str = "ok") -> DataFrame:
-    """First and last index of the maximal run of good bins that holds each row; null outside runs."""
-    edges = lambda w: {
-        "_start": F.when(F.col(ok) & ~F.coalesce(F.lag(ok, 1).over(w), F.lit(False)), F.col("b")),
-        "_end": F.when(F.col(ok) & ~F.coalesce(F.lead(ok, 1).over(w), F.lit(False)), F.col("b")),
-    }
+def valid_runs(series: DataFrame, keys: list[str], ok: str = "ok", same: str | None = None) -> DataFrame:
+    """First and last index of the maximal run of good bins that holds each row; null outside runs.
+
+    A change of the column ``same`` (the split) also ends a run.
+    """
+    def edges(w):
+        def joined(step):
+            other = step(ok, 1).over(w)
+            if same:
+                other = other & step(same, 1).over(w).eqNullSafe(F.col(same))
+            return F.coalesce(other, F.lit(False))
+        return {
+            "_start": F.when(F.col(ok) & ~joined(F.lag), F.col("b")),
+            "_end": F.when(F.col(ok) & ~joined(F.lead), F.col("b")),
+        }
     out = windowed(series, keys, "b", 1, 1, edges)
     out = running(out, keys, "b", {"run_start": ("last", F.col("_start"))})
     out = running(out, keys, "b", {"run_end": ("last", F.col("_end"))}, reverse=True)
