@@ -1,4 +1,4 @@
 """Registered queries: every operator bound to the given tables, with its SQL twin."""
 
-from ramplake.plans import detect, joins, qc, scalar, timegrid  # noqa: F401
+from ramplake.plans import detect, joins, qc, scalar, scoring, timegrid  # noqa: F401
 from ramplake.plans.timegrid import flagship  # noqa: F401

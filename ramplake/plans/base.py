@@ -65,6 +65,22 @@ def windows(spark: SparkSession, sf: str, minutes: int = BIN, thr: float = THR)
     return paths17.select("site", "b", "split", "path", paths.process_class("path", thr).alias("y"), paths.first_passage("path", thr, "down").alias("arr"))
 
 
+def forecasts(spark: SparkSession, sf: str) -> DataFrame:
+    """arm, lead, b, split, y, arr, p, q: training frequency overall, by hour, and by the last mature class."""
+    from ramplake.operators.chunks import cut_lineage
+    from ramplake.operators.scoring import frequency_forecast
+
+    win = cut_lineage(windows(spark, sf).select("b", "split", "y", "arr"))
+    known = win.select(F.col("b").alias("_k"), F.col("y").alias("last_y"))
+    led = win.withColumn("lead", F.explode(F.array(*[F.lit(n) for n in LEADS]))).withColumn("_k", F.col("b") - 16 - F.col("lead"))
+    led = led.join(known, "_k").drop("_k")
+    arms = F.array(
+        F.struct(F.lit("freq").alias("arm"), F.lit("all").alias("cond")), F.struct(F.lit("hour").alias("arm"), (F.col("b") % 24).cast("string").alias("cond")),
+        F.struct(F.lit("trans").alias("arm"), F.col("last_y").cast("string").alias("cond")))
+    cases = led.withColumn("_a", F.explode(arms)).select("*", "_a.arm", "_a.cond").drop("_a", "last_y")
+    return frequency_forecast(cases, ["arm", "lead", "cond"]).drop("cond")
+
+
 SQL_RAW = "WITH raw AS (SELECT event_type AS unit, epoch_us(ts) AS us, value AS v, user_id, event_id FROM events)"
 SQL_SERIES = SQL_RAW + """,
 bins AS (SELECT unit, us // 3600000000 AS b, avg(v) AS x, count(*) AS n FROM raw GROUP BY 1, 2),
@@ -84,3 +100,21 @@ node_run AS (SELECT b, k, x, x - min(x) OVER w AS up, max(x) OVER w - x AS down
 label AS (SELECT b, (max(up) >= 0.3::DOUBLE - 1e-12)::INT + 2 * (max(down) >= 0.3::DOUBLE - 1e-12)::INT AS y,
   coalesce(min(CASE WHEN k > 0 AND down >= 0.3::DOUBLE - 1e-12 THEN k - 1 END), 16) AS arr FROM node_run GROUP BY b),
 win AS (SELECT b, y, arr, CASE WHEN b < (SELECT c1 FROM cuts) THEN 'train' WHEN b < (SELECT c2 FROM cuts) THEN 'validation' ELSE 'test' END AS split FROM label)"""
+
+_P = ", ".join(f"(coalesce(c{k}, 0) + 1)::DOUBLE / (coalesce(n, 0) + 4)" for k in range(4))
+_Q = ", ".join(f"(coalesce(t{k}, 0) + 1)::DOUBLE / (coalesce(nd, 0) + 16)" for k in range(16))
+SQL_FC = SQL_WIN + f""",
+leads AS (SELECT unnest([1, 4, 8])::BIGINT AS lead),
+pw AS (SELECT w.b, l.lead, w.split, w.y, w.arr, pv.y AS py FROM win w, leads l JOIN win pv ON pv.b = w.b - 16 - l.lead),
+cases AS (SELECT *, 'freq' AS arm, 'all' AS cond FROM pw UNION ALL SELECT *, 'hour', (b % 24)::VARCHAR FROM pw UNION ALL SELECT *, 'trans', py::VARCHAR FROM pw),
+tr AS (SELECT arm, lead, cond, count(*) AS n, count(*) FILTER (WHERE arr < 16) AS nd, {", ".join(f"count(*) FILTER (WHERE y = {k}) AS c{k}" for k in range(4))}, {", ".join(f"count(*) FILTER (WHERE arr = {k}) AS t{k}" for k in range(16))} FROM cases WHERE split = 'train' GROUP BY 1, 2, 3),
+fc AS MATERIALIZED (SELECT c.arm, c.lead, c.b, c.split, c.y, c.arr, [{_P}] AS p, [{_Q}] AS q FROM cases c LEFT JOIN tr USING (arm, lead, cond))"""
+_CDF = "[" + ", ".join("1.0::DOUBLE" if k == 15 else f"list_sum(q[1:{k + 1}])" for k in range(16)) + "]"
+SQL_LOSS = SQL_FC + f""",
+cl AS (SELECT arm, lead, b, split, y, arr, (p[4] - (y = 3)::INT) ** 2 AS return_brier, (p[1] - (y = 0)::INT) ** 2 + (p[2] - (y = 1)::INT) ** 2 + (p[3] - (y = 2)::INT) ** 2 + (p[4] - (y = 3)::INT) ** 2 AS multiclass_brier,
+ -ln(greatest(p[y + 1], 1e-12)) AS log_loss, (p[2] + p[4] - (y IN (1, 3))::INT) ** 2 AS up_brier, (p[3] + p[4] - (y IN (2, 3))::INT) ** 2 AS down_brier FROM fc),
+tc AS (SELECT *, p[3] + p[4] AS pd, {_CDF} AS cdf FROM fc),
+tl AS (SELECT arm, lead, b, split, y, arr, ({" + ".join(f"(cdf[{j + 1}] * pd - (arr <= {j})::INT) ** 2" for j in range(16))}) / 16 AS joint_rps, ({" + ".join(f"(cdf[{j + 1}] * pd - (arr <= {j})::INT) ** 2" for j in range(15))}) / 15 AS early_cdf_loss,
+ (pd - (arr <= 15)::INT) ** 2 AS occurrence_brier, -ln(greatest(CASE WHEN arr < 16 THEN pd * q[arr + 1] ELSE 1 - pd END, 1e-12)) AS joint_log_loss,
+ CASE WHEN arr < 16 THEN ({" + ".join(f"(cdf[{j + 1}] - (arr <= {j})::INT) ** 2" for j in range(15))}) / 15 END AS conditional_rps,
+ CASE WHEN arr < 16 THEN 15.0::DOUBLE * abs({"".join(f"CASE WHEN cdf[{j + 1}] >= 0.5::DOUBLE THEN {j} ELSE " for j in range(15))}15{" END" * 15} - arr) END AS conditional_median_mae FROM tc)"""
