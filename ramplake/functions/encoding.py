@@ -15,16 +15,25 @@ def _co(v: Column) -> Column:
     return F.sqrt(F.greatest(1 - v * v, F.lit(0.0)))
 
 
+def _bind(value: Column, use) -> Column:
+    """Evaluate ``value`` once and use it by name inside ``use``."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _field(x: Column, cell) -> Column:
+    """Flattened square of ``cell(u_i, c_i, u_j, c_j)``; values and complements are computed once per row."""
+    pairs = F.transform(_unit(x), lambda u: F.struct(u.alias("u"), _co(u).alias("c")))
+    return _bind(pairs, lambda z: F.flatten(F.transform(z, lambda a: F.transform(z, lambda b: cell(a["u"], a["c"], b["u"], b["c"])))))
+
+
 def gasf(x: Column) -> Column:
     """Flattened summation field."""
-    x = _unit(x)
-    return F.flatten(F.transform(x, lambda a: F.transform(x, lambda b: a * b - _co(a) * _co(b))))
+    return _field(x, lambda u, c, v, d: u * v - c * d)
 
 
 def gadf(x: Column) -> Column:
     """Flattened difference field."""
-    x = _unit(x)
-    return F.flatten(F.transform(x, lambda a: F.transform(x, lambda b: _co(a) * b - a * _co(b))))
+    return _field(x, lambda u, c, v, d: c * v - u * d)
 
 
 def polarity(x: Column) -> Column:
@@ -35,12 +44,14 @@ def polarity(x: Column) -> Column:
 
 def invert_gasf(field: Column, sign: Column, n: int) -> Column:
     """The path behind a summation field, given the sign at its largest node."""
-    magnitude = F.transform(
+    sizes = F.transform(
         F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.sqrt(F.greatest((F.get(field, i * (n + 1)) + 1) / 2, F.lit(0.0)))
     )
-    anchor = F.array_position(magnitude, F.array_max(magnitude)).cast("int") - 1
-    top = F.get(magnitude, anchor)
-    return F.transform(magnitude, lambda m, i: (F.get(field, i * n + anchor) + _co(m) * _co(top)) / (top * sign))
+    def unfold(m: Column) -> Column:
+        anchor = F.array_position(m, F.array_max(m)).cast("int") - 1
+        return _bind(F.struct(anchor.alias("at"), F.get(m, anchor).alias("top")), lambda t: F.transform(
+            m, lambda v, i: (F.get(field, i * n + t["at"]) + _co(v) * _co(t["top"])) / (t["top"] * sign)))
+    return _bind(sizes, unfold)
 
 
 def dct2_ortho(x: Column, n: int, first: int, coefficients: int) -> Column:

@@ -6,7 +6,7 @@ The width is known when the plan is built, so the ordered folds are unrolled int
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ramplake.config import PATH_NODES, THRESHOLD_TOL, TIMING_BINS
 
@@ -26,11 +26,33 @@ def excursions(path: str | Column, n: int = PATH_NODES, anchor: Column | None =
     return ups, downs
 
 
+def reaches(values: list[Column], cut) -> Column:
+    """Whether any value reaches the cut, as a chain of short branches (one large expression would not be compiled)."""
+    out = F.when(values[0] >= cut, True)
+    for v in values[1:]:
+        out = out.when(v >= cut, True)
+    return out.otherwise(False)
+
+
 def process_class(path: str | Column, thr: float | Column, n: int = PATH_NODES, anchor: Column | None = None, tol: float = THRESHOLD_TOL) -> Column:
     """0 calm, 1 rise, 2 fall, 3 both, from ordered excursions of at least ``thr``."""
     ups, downs = excursions(path, n, anchor)
     cut = thr - tol if isinstance(thr, float) else thr - F.lit(tol)
-    return (F.greatest(*ups) >= cut).cast("int") + 2 * (F.greatest(*downs) >= cut).cast("int")
+    return reaches(ups, cut).cast("int") + 2 * reaches(downs, cut).cast("int")
+
+
+def with_excursions(df: DataFrame, path: str, n: int = PATH_NODES) -> DataFrame:
+    """Add ``ups`` and ``downs``, the excursions of every node, for labelling many rows at many thresholds.
+
+    The running extremes are built one projection per node, so each is computed once from the one before and the
+    work is linear in the path length; as single expressions it would be quadratic.
+    """
+    x = nodes(path, n)
+    out = df.withColumns({"_lo0": x[0], "_hi0": x[0]})
+    for j in range(1, n):
+        out = out.withColumns({f"_lo{j}": F.least(f"_lo{j - 1}", x[j]), f"_hi{j}": F.greatest(f"_hi{j - 1}", x[j])})
+    out = out.withColumns({"ups": F.array(*[x[j] - F.col(f"_lo{j}") for j in range(1, n)]), "downs": F.array(*[F.col(f"_hi{j}") - x[j] for j in range(1, n)])})
+    return out.drop(*[f"_{s}{j}" for s in ("lo", "hi") for j in range(n)])
 
 
 def first_passage(path: str | Column, thr: float | Column, direction: str = "down", n: int = PATH_NODES, tol: float = THRESHOLD_TOL) -> Column:
@@ -44,12 +66,6 @@ def first_passage(path: str | Column, thr: float | Column, direction: str = "dow
     return out.otherwise(F.lit(n - 1))
 
 
-def excursion_arrays(path: str | Column, n: int = PATH_NODES) -> dict[str, Column]:
-    """Both excursion lists as array columns ``ups`` and ``downs``, for use with many thresholds."""
-    ups, downs = excursions(path, n)
-    return {"ups": F.array(*ups), "downs": F.array(*downs)}
-
-
 def class_at(thr: Column, tol: float = THRESHOLD_TOL) -> Column:
     cut = thr - tol
     return (F.array_max("ups") >= cut).cast("int") + 2 * (F.array_max("downs") >= cut).cast("int")

@@ -127,18 +127,18 @@ def exact_quantiles(
     )
     lo = [F.col("_lowest") if probs[n] <= slack else F.col("_marks")[2 * i] for i, n in enumerate(names)]
     hi = [F.col("_highest") if probs[n] >= 1 - slack else F.col("_marks")[2 * i + 1] for i, n in enumerate(names)]
-    # a margin of two order statistics covers small groups, where the slack is less than one rank
-    tagged = data.join(marks, keys) if keys else data.withColumns(
-        {c: marks.select(c).scalar() for c in ("_n", "_lowest", "_highest", "_marks")}
-    )
-    small = F.col("_n") <= 4 * accuracy
-    cell = F.when(small, F.struct(F.col("_x").alias("v"), F.lit(1).alias("inside")))
-    for i in range(len(names)):
-        cell = cell.when(F.col("_x") < lo[i], F.struct(lo[i].alias("v"), F.lit(0).alias("inside")))
-        cell = cell.when(F.col("_x") <= hi[i], F.struct(F.col("_x").alias("v"), F.lit(1).alias("inside")))
+    # brackets belong to the key, not to the row
+    marks = marks.select(*keys, F.struct("_n", F.array(*lo).alias("los"), F.array(*hi).alias("his")).alias("_m"))
+    tagged = data.join(marks, keys) if keys else data.withColumn("_m", marks.select("_m").scalar())
+    # the first bracket that ends at or above the value holds it, or lies above it; groups of a few values
+    # (where the slack is less than one rank) are ranked whole
+    at = F.size(F.filter("_m.his", lambda h: h < F.col("_x")))
+    start = F.get("_m.los", at)
+    inner = F.struct(F.col("_x").alias("v"), F.lit(1).alias("inside"))
+    cell = F.when((F.col("_m._n") <= 4 * accuracy) | (F.col("_x") >= start), inner).when(start.isNotNull(), F.struct(start.alias("v"), F.lit(0).alias("inside")))
     counts = (
         tagged.withColumn("_cell", cell).filter("_cell IS NOT NULL").groupBy(*keys, "_cell")
-        .agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
+        .agg(F.count("*").alias("_c"), F.first("_m._n").alias("_n"))
     )
     upto = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
     ranked = counts.withColumn("_hi", F.sum("_c").over(upto)).withColumn("_lo", F.col("_hi") - F.col("_c"))

@@ -66,24 +66,24 @@ def regularize(
     return bins.withColumn("ok", ok).withColumn("x", F.when(F.col("ok"), F.col("x")))
 
 
-def calendar_grid(df: DataFrame, keys: list[str], idx: str = "b", per_key: bool = False, bounds: tuple[Column, Column] | None = None) -> DataFrame:
+def calendar_grid(df: DataFrame, keys: list[str], idx: str = "b", per_key: bool = False, bounds: tuple[Column, Column] | None = None, entities: DataFrame | None = None) -> DataFrame:
     """Every key at every index between the first and last one (of the table, or of each key).
 
-    Pass ``bounds`` when the span is known more cheaply than from ``df`` itself.
+    Pass ``bounds`` and ``entities`` (the distinct keys) when they are known more cheaply than from ``df`` itself.
     """
     if per_key:
         ends = df.groupBy(*keys).agg(F.min(idx).alias("_lo"), F.max(idx).alias("_hi"))
     else:
         lo, hi = bounds or span(df, idx)
-        ends = df.select(*keys).distinct().withColumns({"_lo": lo, "_hi": hi})
+        ends = (df.select(*keys).distinct() if entities is None else entities).withColumns({"_lo": lo, "_hi": hi})
     pieces = ends.withColumn("_piece", F.explode(F.sequence(F.floor(F.col("_lo") / CHUNK), F.floor(F.col("_hi") / CHUNK))))
     start, stop = F.greatest("_lo", F.col("_piece") * CHUNK), F.least("_hi", (F.col("_piece") + 1) * CHUNK - 1)
     return pieces.repartition(*keys, "_piece").select(*keys, F.explode(F.sequence(start.cast("long"), stop.cast("long"))).alias(idx))
 
 
-def on_grid(bins: DataFrame, keys: list[str], idx: str = "b", per_key: bool = False, bounds: tuple[Column, Column] | None = None) -> DataFrame:
+def on_grid(bins: DataFrame, keys: list[str], idx: str = "b", per_key: bool = False, bounds: tuple[Column, Column] | None = None, entities: DataFrame | None = None) -> DataFrame:
     """Left join onto the calendar grid, so that gaps are rows."""
-    out = calendar_grid(bins, keys, idx, per_key, bounds).join(bins, [*keys, idx], "left")
+    out = calendar_grid(bins, keys, idx, per_key, bounds, entities).join(bins, [*keys, idx], "left")
     return out.withColumn("ok", F.coalesce(F.col("ok"), F.lit(False))) if "ok" in bins.columns else out
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ramplake.functions import paths
 from ramplake.operators import timegrid as tg
+from ramplake.operators.chunks import cut_lineage
 from ramplake.plans.registry import load
 
 BIN = 60
@@ -35,11 +36,16 @@ def cuts(spark: SparkSession, sf: str, minutes: int = BIN):
 
 
 def series(spark: SparkSession, sf: str, minutes: int = BIN) -> DataFrame:
-    """unit, b, x, ok, n on the full grid."""
+    """unit, b, x, ok, n on the full grid.
+
+    Everything later reads this series several times, so the raw rows are binned once and the bins are written to
+    the checkpoint folder; they are smaller than the raw rows by the number of samples per bin.
+    """
     bins = tg.regularize(raw_events(spark, sf), ["unit"], "us", "v", None, minutes, order="event_id")
     bins = bins.select("unit", "b", "x", "ok", F.col("n_total").alias("n"))
-    out = tg.on_grid(bins, ["unit"], bounds=bounds(spark, sf, minutes))
-    return out.withColumn("n", F.coalesce("n", F.lit(0)))
+    entities = raw_events(spark, sf).select("unit").distinct()
+    out = tg.on_grid(bins, ["unit"], bounds=bounds(spark, sf, minutes), entities=entities)
+    return cut_lineage(out.withColumn("n", F.coalesce("n", F.lit(0))))
 
 
 def scaled(spark: SparkSession, sf: str, minutes: int = BIN) -> DataFrame:
@@ -62,12 +68,12 @@ def windows(spark: SparkSession, sf: str, minutes: int = BIN, thr: float = THR)
     """b, split, path, y, arr (downward first passage)."""
     paths17 = tg.target_path(farm(spark, sf, minutes), ["site"])
     paths17 = tg.chronological_split(paths17, cuts=cuts(spark, sf, minutes))
-    return paths17.select("site", "b", "split", "path", paths.process_class("path", thr).alias("y"), paths.first_passage("path", thr, "down").alias("arr"))
+    labelled = paths.with_excursions(paths17.select("site", "b", "split", "path"), "path")
+    return labelled.select("site", "b", "split", "path", paths.class_at(F.lit(thr)).alias("y"), paths.passage_at(F.lit(thr)).alias("arr"))
 
 
 def forecasts(spark: SparkSession, sf: str) -> DataFrame:
     """arm, lead, b, split, y, arr, p, q: training frequency overall, by hour, and by the last mature class."""
-    from ramplake.operators.chunks import cut_lineage
     from ramplake.operators.scoring import frequency_forecast
 
     win = cut_lineage(windows(spark, sf).select("b", "split", "y", "arr"))

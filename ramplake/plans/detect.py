@@ -170,7 +170,7 @@ def _(spark, sf):
 lab AS (SELECT n.b, t.thr, (max(up) >= t.thr - 1e-12)::INT + 2 * (max(down) >= t.thr - 1e-12)::INT AS cls, coalesce(min(CASE WHEN k > 0 AND down >= t.thr - 1e-12 THEN k - 1 END), 16) AS arr FROM node_run n, (VALUES (0.15::DOUBLE), (0.2::DOUBLE), (0.25::DOUBLE), (0.3::DOUBLE)) t(thr) GROUP BY 1, 2)
 SELECT thr, count(*) AS windows, round(avg((l.cls = w.y)::INT), 6) AS class_match, round(avg((l.arr = w.arr)::INT), 6) AS arrival_match FROM lab l JOIN win w USING (b) GROUP BY thr""")
 def _(spark, sf):
-    win = base.windows(spark, sf).select("y", "arr", *[c.alias(n) for n, c in paths.excursion_arrays("path").items()])
+    win = paths.with_excursions(base.windows(spark, sf), "path").select("y", "arr", "ups", "downs")
     lab = win.withColumn("thr", F.explode(F.array(*[F.lit(t) for t in (0.15, 0.2, 0.25, 0.3)])))
     lab = lab.select("y", "arr", "thr", paths.class_at(F.col("thr")).alias("cls"), paths.passage_at(F.col("thr")).alias("arrival"))
     return rounded(lab.groupBy("thr").agg(F.count("*").alias("windows"), F.avg((F.col("cls") == F.col("y")).cast("int")).alias("class_match"), F.avg((F.col("arrival") == F.col("arr")).cast("int")).alias("arrival_match")))
