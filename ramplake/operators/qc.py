@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ramplake.operators.chunks import exact_quantiles, windowed
+from ramplake.operators.chunks import cut_lineage, exact_quantiles, windowed
 from ramplake.operators.joins import nearest_units
 
 
@@ -19,7 +19,8 @@ def power_curve_outliers(
     valid = F.col(wind).isNotNull() & F.col(power).isNotNull() & (F.col(wind) >= wind_min)
     data = df.withColumn("_bin", F.when(valid, F.floor(F.col(wind) / width)))
     inside = data.filter("_bin IS NOT NULL").select(unit, "_bin", F.col(power).alias("_p"))
-    centre = exact_quantiles(inside, [unit, "_bin"], "_p", {"_q25": 0.25, "_median": 0.5, "_q75": 0.75})
+    # one row per (unit, bin), read twice below
+    centre = cut_lineage(exact_quantiles(inside, [unit, "_bin"], "_p", {"_q25": 0.25, "_median": 0.5, "_q75": 0.75}))
     away = inside.join(centre, [unit, "_bin"]).withColumn("_dev", F.abs(F.col("_p") - F.col("_median")))
     mad = exact_quantiles(away, [unit, "_bin"], "_dev", {"_mad": 0.5})
     counts = inside.groupBy(unit, "_bin").agg(F.count("*").alias("_n"))

@@ -3,6 +3,7 @@
 import os
 import sys
 import traceback
+from concurrent.futures import ThreadPoolExecutor
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -17,13 +18,16 @@ if __name__ == "__main__":
     con, bad = connect(sf), 0
     queries, oracle = entry_module.queries(), entry_module.oracle_sql()
     wanted = [n for n in queries if not sys.argv[1:] or any(n.startswith(p) for p in sys.argv[1:])]
-    for name in wanted:
+    def one(name):
         try:
-            verdict, took, rows = compare(spark, con, queries[name], oracle.get(name), sf)
+            return name, *compare(spark, con.cursor(), queries[name], oracle.get(name), sf)
         except Exception as error:
-            verdict, took, rows = "ERROR " + (str(error)[:1500] if os.environ.get("LONG") else str(error)[:260]), 0.0, 0
             if os.environ.get("TRACE"):
                 traceback.print_exc()
-        bad += verdict not in ("ok", "rows")
-        print(f"{name:40s} {took:6.2f}s {rows:7d} {verdict}", flush=True)
+            return name, "ERROR " + str(error)[:260], 0.0, 0
+
+    with ThreadPoolExecutor(int(os.environ.get("THREADS", "1"))) as pool:
+        for name, verdict, took, rows in pool.map(one, wanted):
+            bad += verdict not in ("ok", "rows")
+            print(f"{name:40s} {took:6.2f}s {rows:7d} {verdict}", flush=True)
     print(f"{len(wanted)} queries, {bad} bad")
