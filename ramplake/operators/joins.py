@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ramplake.config import DAY_US, MATURITY_MINUTES, MINUTE_US
 from ramplake.functions import geo, paths
-from ramplake.operators.chunks import running
+from ramplake.operators.chunks import cut_lineage, running
 
 MAX_CLASS = 62
 
@@ -167,30 +167,41 @@ def window_event_counts(windows: DataFrame, events: DataFrame, keys: list[str])
     return out.withColumn("relation", label)
 
 
-def nearest_units(units: DataFrame, k: int, metric: str = "haversine", cell_deg: float | None = None) -> DataFrame:
-    """k nearest other units with distance and rank; ties by id.
+def nearest_units(units: DataFrame, k: int, metric: str = "haversine") -> DataFrame:
+    """k nearest other units (id, lat, lon) with distance and rank; ties by id.
 
-    The unit table (id, lat, lon) is a dimension table. With ``cell_deg`` the search visits the 3x3 block of
-    cells around a unit, which is exact for neighbours closer than one cell; without it every unit is compared.
+    A unit meets the 3x3 block of grid cells around it. What lies outside is at least one cell away, so its list is
+    final when the k-th distance is below that; the other units try again with cells of twice the size. The last
+    round, where one block covers the whole extent, is complete by itself.
     """
+    size = units.agg(F.count("*").alias("n"), F.greatest(F.max("lat") - F.min("lat"), F.max("lon") - F.min("lon")).alias("extent")).first()
+    extent = max(size["extent"] or 0.0, 1e-9)
+    cell = extent / max(1.0, math.sqrt(size["n"] / (k + 1)))
     a = units.select(F.col("id").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
     b = units.select(F.col("id").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    if cell_deg is None:
-        # one equi key on both sides, so the comparison is spread by the other side's hash
-        slots = 16
-        a = a.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-        b = b.withColumn("_g", F.pmod(F.xxhash64("dst"), F.lit(slots)).cast("int"))
-        pairs = a.join(b, "_g").drop("_g")
-    else:
+    planar = metric == "planar"
+    dist = F.hypot(F.col("lat1") - F.col("lat2"), F.col("lon1") - F.col("lon2")) if planar else geo.haversine_m("lat1", "lon1", "lat2", "lon2")
+    nearest, found = W.partitionBy("src").orderBy("distance_m", "dst"), None
+    while True:
         near = F.sequence(F.lit(-1), F.lit(1))
-        a = a.withColumn("_i", F.explode(F.transform(near, lambda d: F.floor(F.col("lat1") / cell_deg) + d)))
-        a = a.withColumn("_j", F.explode(F.transform(near, lambda d: F.floor(F.col("lon1") / cell_deg) + d)))
-        b = b.withColumns({"_i": F.floor(F.col("lat2") / cell_deg), "_j": F.floor(F.col("lon2") / cell_deg)})
-        pairs = a.join(b, ["_i", "_j"]).drop("_i", "_j")
-    pairs = pairs.filter("src <> dst")
-    dist = geo.haversine_m("lat1", "lon1", "lat2", "lon2") if metric == "haversine" else F.hypot(F.col("lat1") - F.col("lat2"), F.col("lon1") - F.col("lon2"))
-    ranked = pairs.withColumn("distance_m", dist).withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy("distance_m", "dst")))
-    return ranked.filter(F.col("rank") <= k)
+        left = a.withColumn("_i", F.explode(F.transform(near, lambda d: F.floor(F.col("lat1") / cell) + d)))
+        left = left.withColumn("_j", F.explode(F.transform(near, lambda d: F.floor(F.col("lon1") / cell) + d)))
+        right = b.withColumns({"_i": F.floor(F.col("lat2") / cell), "_j": F.floor(F.col("lon2") / cell)})
+        pairs = left.join(right, ["_i", "_j"]).drop("_i", "_j").filter("src <> dst").withColumn("distance_m", dist)
+        ranked = cut_lineage(pairs.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k))
+        if cell >= extent:
+            return ranked if found is None else found.unionByName(ranked)
+        # smallest possible distance to a point outside the block
+        reach = F.lit(cell) if planar else 2 * geo.EARTH_RADIUS_M * F.asin(
+            F.cos(F.radians(F.least(F.abs("lat1") + cell, F.lit(90.0)))) * F.sin(F.radians(F.lit(cell)) / 2))
+        final = ranked.groupBy("src").agg(F.count("*").alias("_n"), F.max("distance_m").alias("_far"), F.first(reach).alias("_reach"))
+        final = final.filter((F.col("_n") == k) & (F.col("_far") < F.col("_reach"))).select("src")
+        part = ranked.join(final, "src", "left_semi").select(ranked.columns)
+        found = part if found is None else found.unionByName(part)
+        a = cut_lineage(a.join(final, "src", "left_anti"))
+        if a.isEmpty():
+            return found
+        cell *= 2
 
 
 def enrich_edges(edges: DataFrame, units: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from ramplake.operators import joins, timegrid as tg
 from ramplake.plans import base
 from ramplake.plans.base import SQL_FARM, SQL_RAW, SQL_SERIES, SQL_WIN
 from ramplake.plans.registry import load, query, rounded
-from ramplake.plans.scalar import SQL_SITES, sites
 
 
 @query("equi_left_join_coalesced", """SELECT o_orderkey, round(coalesce(CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END, c_acctbal), 2) AS measure, c_nationkey FROM orders LEFT JOIN customer ON c_custkey = o_custkey""")
@@ -135,7 +134,19 @@ def _(spark, sf):
     return joins.window_event_counts(windows, sessions(spark, sf, 4), ["unit"]).select("unit", "id", "n_inside", "n_overlap", "relation")
 
 
-_KNN = "WITH " + SQL_SITES + """, p AS (SELECT a.id AS src, z.id AS dst, sin((radians(z.lat) - radians(a.lat)) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(z.lat)) * sin((radians(z.lon) - radians(a.lon)) / 2) ** 2 AS h,
+SQL_UNITS = """sites AS (SELECT s_suppkey AS id, 30 + (s_suppkey * 7 % 101) * 0.01::DOUBLE + sin(s_suppkey) * 0.003::DOUBLE AS lat, 110 + (s_suppkey * 11 % 103) * 0.013::DOUBLE + cos(s_suppkey) * 0.003::DOUBLE AS lon,
+ 10.0::DOUBLE * (s_suppkey * 3 % 25) AS elev, 0.01::DOUBLE * (1 + s_suppkey % 5) AS z0 FROM supplier)"""
+
+
+def units(spark, sf):
+    """Suppliers at made-up coordinates."""
+    k = F.col("s_suppkey")
+    return load(spark, sf, "supplier").select(
+        k.alias("id"), (30 + (k * 7 % 101) * 0.01 + F.sin(k) * 0.003).alias("lat"), (110 + (k * 11 % 103) * 0.013 + F.cos(k) * 0.003).alias("lon"),
+        (10.0 * (k * 3 % 25)).alias("elev"), (0.01 * (1 + k % 5)).alias("z0"))
+
+
+_KNN = "WITH " + SQL_UNITS + """, p AS (SELECT a.id AS src, z.id AS dst, sin((radians(z.lat) - radians(a.lat)) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(z.lat)) * sin((radians(z.lon) - radians(a.lon)) / 2) ** 2 AS h,
  radians(a.lat) AS p1, radians(z.lat) AS p2, radians(z.lon) - radians(a.lon) AS dl, z.elev - a.elev AS de, sqrt(a.z0 * z.z0) AS rough FROM sites a JOIN sites z ON a.id <> z.id),
 k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM (SELECT *, 2 * 6371000.0::DOUBLE * atan2(sqrt(h), sqrt(1 - h)) AS dist FROM p))
 """
@@ -143,12 +154,12 @@ k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank
 
 @query("nearest_units_graph", _KNN + "SELECT src, dst, rank, round(dist, 3) AS distance_m FROM k WHERE rank <= 6")
 def _(spark, sf):
-    return rounded(joins.nearest_units(sites(spark, sf), 6).select("src", "dst", "rank", "distance_m"), 3)
+    return rounded(joins.nearest_units(units(spark, sf), 6).select("src", "dst", "rank", "distance_m"), 3)
 
 
 @query("edge_enrichment", _KNN + "SELECT src, dst, round(atan2(sin(dl) * cos(p2), cos(p1) * sin(p2) - sin(p1) * cos(p2) * cos(dl)), 6) AS bearing_rad, de AS elevation_diff_m, round(rough, 6) AS roughness_pair, round(exp(-dist / 1500), 6) AS wake_prior FROM k WHERE rank <= 6")
 def _(spark, sf):
-    s = sites(spark, sf)
+    s = units(spark, sf)
     return rounded(joins.enrich_edges(joins.nearest_units(s, 6), s).select("src", "dst", "bearing_rad", "elevation_diff_m", "roughness_pair", "wake_prior"))
 
 

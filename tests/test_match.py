@@ -82,3 +82,16 @@ def test_agreement(spark, cells, nmi, ari):
     if ari is not None:
         assert row.ari == pytest.approx(ari)
     assert row.informative == (len(cells) > 1)
+
+
+@pytest.mark.parametrize("metric", ["haversine", "planar"])
+def test_nearest_units(spark, metric):
+    rng = np.random.default_rng(12)
+    pts = np.r_[rng.normal([30, 110], 0.01, (60, 2)), rng.uniform([28, 105], [33, 116], (25, 2))]
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(pts)), "lat": pts[:, 0], "lon": pts[:, 1]}))
+    p = np.radians(pts)
+    h = np.sin((p[:, None, 0] - p[None, :, 0]) / 2) ** 2 + np.cos(p[:, None, 0]) * np.cos(p[None, :, 0]) * np.sin((p[:, None, 1] - p[None, :, 1]) / 2) ** 2
+    d = 2 * 6371000 * np.arcsin(np.sqrt(h)) if metric == "haversine" else np.hypot(pts[:, None, 0] - pts[None, :, 0], pts[:, None, 1] - pts[None, :, 1])
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j)) for i in range(len(pts)) for j in np.argsort(d[i])[:4]}
+    assert {(r.src, r.dst) for r in joins.nearest_units(df, 4, metric).collect()} == want
