@@ -15,7 +15,6 @@ the cluster:
 from __future__ import annotations
 
 import math
-import os
 import tempfile
 from collections.abc import Callable
 
@@ -168,13 +167,26 @@ def _bracketed_quantiles(data: DataFrame, keys: list[str], probs: dict[str, floa
     return ranked.groupBy(*keys).agg(*aggs)
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a fresh local one only where none is set and Spark runs in one process."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if sc.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[sc.applicationId] = tempfile.mkdtemp(prefix="spark-ckpt-")
+    return _LOCAL_FOLDERS[sc.applicationId]
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by the cluster; fall back to a fresh one only where none is set."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-", dir=os.environ.get("TMPDIR"))
-    sc.setCheckpointDir(folder)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_folder(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

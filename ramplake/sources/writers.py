@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ramplake.operators.chunks import shared_folder
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared folder the cluster names; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-scratch-", dir=os.environ.get("TMPDIR"))
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder under the shared folder the cluster names."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_monthly(df: DataFrame, path: str, time: str) -> None:
