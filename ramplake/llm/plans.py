@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ramplake.llm import bpe
-from ramplake.llm.common import load
+from ramplake.llm import bpe, mixing, quality, records, rules, simhash
+from ramplake.llm.common import fresh_folder, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,34 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, path).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op2_pu_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, load(spark, sf_dir, "labels")))
+
+
+@query("op3_simhash_index")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
+@query("op5_curriculum_mix", mixing.ORACLE)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(load(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc.doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"))
+
+
+@query("op6_token_records")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_folder(spark, "token-records")
+    records.write_records(load(spark, sf_dir, "documents"), folder, records.bpe_encoder(word_model()), end_id=1)
+    return records.ids_crc32(records.read_records(spark, folder))
+
+
+@query("op9_safe_rules")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.filter_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
