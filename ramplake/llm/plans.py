@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ramplake.llm import bpe, mixing, quality, records, rules, simhash
+from ramplake.llm import bpe, linededup, mixing, quality, records, rules, simhash, topk
 from ramplake.llm.common import fresh_folder, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.filter_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op4_norm_sorted_topk", topk.ORACLE)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(load(spark, sf_dir, "embeddings"))
+
+
+@query("op8_winnowed_lines", linededup.ORACLE)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_lines", "n_removed", F.sha2("cleaned", 256).alias("cleaned_sha256"))
