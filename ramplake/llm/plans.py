@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ramplake.llm import bpe, linededup, mixing, quality, records, rules, simhash, topk
+from ramplake.llm import bpe, licenses, linededup, mixing, quality, records, rules, simhash, topk
 from ramplake.llm.common import fresh_folder, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("row.doc_id", "n_lines", "n_removed", F.sha2("cleaned", 256).alias("cleaned_sha256"))
+
+
+@query("op7_license_digests", licenses.oracle())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("line_licenses", F.array_join("line_licenses", ","))
