@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ramplake.llm import bpe, licenses, linededup, mixing, quality, records, rules, simhash, topk
+from ramplake.llm import bpe, licenses, linededup, mixing, quality, records, rules, runindex, simhash, topk
 from ramplake.llm.common import fresh_folder, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.withColumn("line_licenses", F.array_join("line_licenses", ","))
+
+
+@query("op10_run_index")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runindex.remove_repeats(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
