@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ramplake.operators.chunks import cut_lineage, ensure_checkpoint_dir, shared_folder
 
-__all__ = ["by_batch", "connected", "cut_lineage", "ensure_checkpoint_dir", "fresh_folder", "identity", "load", "shared_folder", "slices", "word_count"]
+__all__ = ["by_batch", "connected", "cut_lineage", "ensure_checkpoint_dir", "fresh_folder", "identity", "load", "shared_folder", "slices", "unpacked", "whole_row", "word_count"]
 
 #: Words of a text are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -30,11 +30,24 @@ def identity(text: str = "text", doc: str = "doc_id") -> Column:
     return F.struct(F.col(doc).cast("long").alias("doc"), F.xxhash64(text).alias("h"), F.length(text).alias("n"))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row as one struct, so that no name can clash with an operator's own."""
+    return F.struct(*(F.col(f"`{c}`").alias(c) for c in df.columns))
+
+
+def unpacked(df: DataFrame, row: str, columns: list[str]) -> DataFrame:
+    """The columns of a struct made by whole_row."""
+    return df.select(*(F.col(f"{row}.`{c}`").alias(c) for c in columns))
+
+
 def word_count(text: str = "text") -> Column:
     """Words of a text; a null text has none."""
-    flat = F.trim(F.translate(F.col(text), SPACES, " " * len(SPACES)))
-    single = F.length(flat) - F.length(F.regexp_replace(flat, "(?<! ) ", ""))
-    return F.when(F.col(text).isNull() | (flat == ""), F.lit(0)).otherwise(single + 1).cast("long")
+    flat = F.col(text)
+    for space in SPACES[1:]:
+        flat = F.replace(flat, F.lit(space), F.lit(" "))
+    flat = F.trim(flat)
+    gaps = F.length(flat) - F.length(F.regexp_replace(flat, "(?<! ) ", ""))
+    return F.when(F.col(text).isNull() | (flat == ""), F.lit(0)).otherwise(gaps + 1).cast("long")
 
 
 def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ramplake.llm.common import cut_lineage, identity
+from ramplake.llm.common import cut_lineage, identity, whole_row
 
 GRAM, WINDOW = 2, 2
 
@@ -67,7 +67,7 @@ def dedup_lines(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW, text
     that had one is an empty text. An empty table gives an empty one.
     """
     cut = repeated_lines(docs, gram=gram, window=window, text=text).select("doc", F.col("lines").alias("cut"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), identity(text).alias("doc"), F.col(text).alias("text"))
+    rows = docs.select(whole_row(docs).alias("row"), identity(text).alias("doc"), F.col(text).alias("text"))
     joined = rows.join(cut, rows["doc"].eqNullSafe(cut["doc"]), "left").select("row", "text", "cut")
     lines = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("cut"))

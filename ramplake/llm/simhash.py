@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ramplake.llm.common import connected, cut_lineage, slices
+from ramplake.llm.common import connected, cut_lineage, slices, unpacked, whole_row
 
 SHINGLE, SEED, BITS, SEGMENT = 3, 42, 64, 16
 #: Most differing bits of a link. The balls have radius 1, so two is what they find.
@@ -44,15 +44,15 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """Columns doc_id and fp (64 bits as a long) for every row; a null text has no words."""
+    """Columns doc_id, h (a hash of the whole text) and fp (64 bits as a long) for every row; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, text):
                 found = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-                yield pa.record_batch([part.column(0), pa.array(found)], ["doc_id", "fp"])
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(found)], ["doc_id", "h", "fp"])
 
-    return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias(text)).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias(text)).mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def near_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -64,7 +64,7 @@ def near_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """Columns doc_id, fp and component_id, a row for each row of `docs`.
+    """Columns doc_id, h, fp, root (a name of the component) and component_id, a row for each row of `docs`.
 
     component_id is the smallest id that links reach from the row, its own included; null ids count only where a
     component has no other. Texts without words have fingerprint 0 and link like others. Repeated rows and ties share
@@ -75,9 +75,19 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc: str = "doc_id",
     roots = connected(near_links(distinct)).select(F.col("node").alias("fp"), "root")
     rooted = distinct.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(lowest, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("doc_id", "h", "fp", "root", "component_id")
 
 
 def hexadecimal(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(fp)), BITS // 4, "0")
+
+
+def keep_first(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
+    """One row of `docs` of each component, with its columns as they are: that of the smallest id, of equal ids that of the
+    smallest text hash. A row without id stays only where its component has no other; of repeated rows one stays."""
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    first = near_duplicates(docs, text=text, doc=doc, shingle=shingle).groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.h")
+    rows = docs.select(whole_row(docs).alias("row"), F.col(doc).cast("long").alias("own"), F.xxhash64(text).alias("hash"))
+    left = rows.join(first, F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("h")), "left_semi").dropDuplicates(["own", "hash"])
+    return unpacked(left, "row", docs.columns)
