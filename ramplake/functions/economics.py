@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
+from ramplake.functions.clip import at_least
 
 
 def _positive(value: Column) -> Column:
-    return F.greatest(value, F.lit(0.0))
+    return at_least(value, 0.0)
 
 
 def imbalance_cashflow(actual: Column, scheduled: Column, buy: Column, sell: Column, hours: float = 0.5) -> dict[str, Column]:

@@ -5,14 +5,15 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, functions as F
+from ramplake.functions.clip import at_least, at_most
 
 
 def _unit(x: Column) -> Column:
-    return F.transform(x, lambda v: F.greatest(F.least(v.cast("double"), F.lit(1.0)), F.lit(-1.0)))
+    return F.transform(x, lambda v: at_least(at_most(v.cast("double"), 1.0), -1.0))
 
 
 def _co(v: Column) -> Column:
-    return F.sqrt(F.greatest(1 - v * v, F.lit(0.0)))
+    return F.sqrt(at_least(1 - v * v, 0.0))
 
 
 def _bind(value: Column, use) -> Column:
@@ -45,7 +46,7 @@ def polarity(x: Column) -> Column:
 def invert_gasf(field: Column, sign: Column, n: int) -> Column:
     """The path behind a summation field, given the sign at its largest node."""
     sizes = F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.sqrt(F.greatest((F.get(field, i * (n + 1)) + 1) / 2, F.lit(0.0)))
+        F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.sqrt(at_least((F.get(field, i * (n + 1)) + 1) / 2, 0.0))
     )
     def unfold(m: Column) -> Column:
         anchor = F.array_position(m, F.array_max(m)).cast("int") - 1

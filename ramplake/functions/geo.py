@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ramplake.config import EARTH_RADIUS_M
+from ramplake.functions.clip import at_least
 
 
 def haversine_m(lat1, lon1, lat2, lon2) -> Column:
     p1, p2 = F.radians(lat1), F.radians(lat2)
     half_lat, half_lon = (p2 - p1) / 2, (F.radians(lon2) - F.radians(lon1)) / 2
     a = F.sin(half_lat) * F.sin(half_lat) + F.cos(p1) * F.cos(p2) * F.sin(half_lon) * F.sin(half_lon)
-    return F.lit(2 * EARTH_RADIUS_M) * F.atan2(F.sqrt(a), F.sqrt(F.greatest(1 - a, F.lit(0.0))))
+    return F.lit(2 * EARTH_RADIUS_M) * F.atan2(F.sqrt(a), F.sqrt(at_least(1 - a, 0.0)))
 
 
 def bearing_rad(lat1, lon1, lat2, lon2) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from ramplake.config import CLASSES, PATH_NODES, TIMING_BINS
 from ramplake.functions import paths
+from ramplake.functions.clip import at_least, at_most
 
 
 def _one(cond: Column) -> Column:
@@ -25,7 +26,7 @@ def class_losses(y: Column, p: Column) -> dict[str, Column]:
     return {
         "return_brier": sq(p[3] - _one(y == 3)),
         "multiclass_brier": _total([sq(p[k] - _one(y == k)) for k in range(CLASSES)]),
-        "log_loss": -F.log(F.least(F.greatest(F.get(p, y), F.lit(1e-12)), F.lit(1.0))),
+        "log_loss": -F.log(at_most(at_least(F.get(p, y), 1e-12), 1.0)),
         "up_brier": sq(p[1] + p[3] - _one(y.isin(1, 3))),
         "down_brier": sq(p[2] + p[3] - _one(y.isin(2, 3))),
     }
@@ -35,9 +36,9 @@ def three_class_losses(y: Column, p: Column) -> dict[str, Column]:
     """Log loss and Brier score of fall / calm / rise, and the direction score on transitions (null on calm)."""
     sq = lambda v: v * v
     return {
-        "log_loss": -F.log(F.least(F.greatest(F.get(p, y), F.lit(1e-12)), F.lit(1.0))),
+        "log_loss": -F.log(at_most(at_least(F.get(p, y), 1e-12), 1.0)),
         "brier": _total([sq(p[k] - _one(y == k)) for k in range(3)]),
-        "direction_score": F.when(y != 1, p[2] / F.greatest(p[0] + p[2], F.lit(1e-12))),
+        "direction_score": F.when(y != 1, p[2] / at_least(p[0] + p[2], 1e-12)),
     }
 
 
@@ -65,13 +66,13 @@ def timing_losses(arrival: Column, q: Column, occurrence: Column, minutes_per_bi
     median = F.lit(k - 1)
     for j in range(k - 2, -1, -1):
         median = F.when(cdf[j] >= 0.5, F.lit(j)).otherwise(median)
-    at = F.get(q, F.least(arrival, F.lit(k - 1)))
+    at = F.get(q, at_most(arrival, k - 1))
     mass = F.when(event, occurrence * at).otherwise(1 - occurrence)
     return {
         "joint_rps": _total(joint) / k,
         "early_cdf_loss": _total(joint[:-1]) / (k - 1),
         "occurrence_brier": joint[-1],
-        "joint_log_loss": -F.log(F.greatest(mass, F.lit(1e-12))),
+        "joint_log_loss": -F.log(at_least(mass, 1e-12)),
         "conditional_rps": F.when(event, _total([(c - t) * (c - t) for c, t in zip(cdf[:-1], truth[:-1])]) / (k - 1)),
         "conditional_median_mae": F.when(event, minutes_per_bin * F.abs(median - arrival).cast("double")),
     }
@@ -104,7 +105,7 @@ def crps(members: Column, actual: Column, m: int) -> Column:
 
 
 def interval_score(actual: Column, low: Column, high: Column, alpha: float) -> Column:
-    miss = F.greatest(low - actual, F.lit(0.0)) + F.greatest(actual - high, F.lit(0.0))
+    miss = at_least(low - actual, 0.0) + at_least(actual - high, 0.0)
     return high - low + (2 / alpha) * miss
 
 

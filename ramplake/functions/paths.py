@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ramplake.config import PATH_NODES, THRESHOLD_TOL, TIMING_BINS
+from ramplake.functions.clip import at_least, at_most
 
 
 def nodes(path: str | Column, n: int = PATH_NODES) -> list[Column]:
@@ -88,14 +89,25 @@ def spread(values: list[Column]) -> Column:
     return F.greatest(*values) - F.least(*values)
 
 
-def coarse_excess_variation(path: str | Column, stride: int = 4, n: int = PATH_NODES, unit: float = 10.0) -> Column:
-    """Total variation of the coarse path (both ends kept) beyond its net change."""
+def coarse_excess_variation(path: str | Column, quarter: Column | None = None, stride: int = 4, n: int = PATH_NODES, unit: float = 10.0) -> Column:
+    """Total variation of the coarse path beyond its net change.
+
+    The coarse path has both ends and the nodes on full hours; ``quarter`` says how many quarters of an hour after a
+    full hour the path starts (0 to 3, nothing: 0).
+    """
     x = nodes(path, n)
-    picks = sorted({0, n - 1, *range(0, n, stride)})
-    total = F.lit(0.0)
-    for i, j in zip(picks, picks[1:]):
-        total = total + F.abs(x[j] - x[i])
-    return F.greatest(total - F.abs(x[-1] - x[0]), F.lit(0.0)) / unit
+
+    def excess(start: int) -> Column:
+        picks = sorted({0, n - 1, *(k for k in range(n) if (k + start) % stride == 0)})
+        steps = [F.abs(x[j] - x[i]) for i, j in zip(picks, picks[1:])]
+        return at_least(sum(steps[1:], steps[0]) - F.abs(x[-1] - x[0]), 0.0) / unit
+
+    if quarter is None:
+        return excess(0)
+    out = F.when(quarter == 0, excess(0))
+    for start in range(1, stride):
+        out = out.when(quarter == start, excess(start))
+    return out
 
 
 def sorted_interior(path: str | Column, n: int = PATH_NODES) -> Column:
@@ -132,7 +144,7 @@ def chord_residual(path: str | Column, n: int = PATH_NODES) -> list[Column]:
 
 
 def log_prob(p: str | Column, floor: float = 1e-6) -> Column:
-    return F.transform(p, lambda v: F.log(F.least(F.greatest(v, F.lit(floor)), F.lit(1.0))))
+    return F.transform(p, lambda v: F.log(at_most(at_least(v, floor), 1.0)))
 
 
 def timing_width() -> int:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame, functions as F
+from ramplake.functions.clip import at_least, at_most
 
 TAU = 2 * math.pi
 
@@ -49,9 +50,9 @@ def missing_indicators(df: DataFrame, skip: list[str] = []) -> DataFrame:
 
 def stability_bins(length: Column, clip: float = 500.0, smallest: float = 1.0, edges: tuple[float, float, float] = (50.0, 100.0, 200.0)) -> dict[str, Column]:
     """Clip, null the degenerate band, scale to ±1, grade stable 1 / unstable 0 / neutral 0.5, number the bin of size."""
-    clipped = F.least(F.greatest(length, F.lit(-clip)), F.lit(clip))
+    clipped = at_most(at_least(length, -clip), clip)
     kept = F.when(F.abs(clipped) >= smallest, clipped)
-    scaled = F.least(F.greatest(kept / edges[2], F.lit(-1.0)), F.lit(1.0))
+    scaled = at_most(at_least(kept / edges[2], -1.0), 1.0)
     size = F.abs(scaled)
     grade = F.when(kept.isNull() | (size >= 1), 0.5).when(kept > 0, 1.0).otherwise(0.0)
     number = F.when(size < edges[0] / edges[2], 0).when(size < edges[1] / edges[2], 1).when(size < 1, 2).otherwise(3)
@@ -70,7 +71,7 @@ def speed_bucket(v: Column, edges: list[float]) -> dict[str, Column]:
         if i + 1 < len(edges):
             inside = inside & (v < edges[i + 1])
         out[f"bucket_{i}"] = inside.cast("int")
-    return out | {"log_speed": F.log1p(F.greatest(v, F.lit(0.0)))}
+    return out | {"log_speed": F.log1p(at_least(v, 0.0))}
 
 
 def interpolate_table(x: Column, xs: Column, ys: Column, n: int) -> Column:

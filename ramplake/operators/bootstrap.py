@@ -137,8 +137,9 @@ def auc_draws(rows: DataFrame, keys: list[str], y: str, score: str, weights: Dat
 
 
 def global_equal_weight(draws: DataFrame, keys: list[str], lead: str, value: str, leads: int) -> DataFrame:
-    """Mean over leads inside each draw, then the interval; draws with a missing lead are left out."""
-    per = draws.groupBy(*keys, "draw").agg(F.avg(value).alias("_v"), F.countDistinct(lead).alias("_k")).filter(F.col("_k") == leads)
+    """Mean over leads inside each draw, then the interval; a draw with a missing lead is an error."""
+    per = draws.groupBy(*keys, "draw").agg(F.avg(value).alias("_v"), F.countDistinct(F.when(F.col(value).isNotNull(), F.col(lead))).alias("_k"))
+    per = per.withColumn("_v", F.when(F.col("_k") == leads, F.col("_v")).otherwise(F.raise_error(F.lit("a draw lacks a lead")).cast("double")))
     return with_interval(per, keys, "_v")
 
 

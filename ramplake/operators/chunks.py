@@ -109,53 +109,30 @@ def running(
 def exact_quantiles(
     df: DataFrame, keys: list[str], value: str, probs: dict[str, float], accuracy: int = 20000
 ) -> DataFrame:
-    """One row per key with exact linear-interpolated quantiles of the non-null ``value``.
+    """One row per key with exact linear-interpolated quantiles of the non-null ``value``; without keys one row.
 
-    Groups up to a fixed number of rows are sorted and read at the wanted ranks. Larger groups would put too much
-    into one task and go through a sketch instead; if there are none, the adaptive planner drops that branch.
+    The sketch of a key has a fixed size and a proven rank error of n / accuracy, so the wanted ranks lie inside a bracket
+    of values for certain; one aggregate counts what is below, and only bracketed values are ranked. Groups of any size
+    take this path; in one smaller than the sketch every value is in its bracket.
     """
-    on = keys or ["_g"]
     data = df.select(*keys, F.col(value).cast("double").alias("_x")).filter("_x IS NOT NULL")
-    if not keys:
-        data = data.withColumn("_g", F.lit(0))
-    big = data.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > 4 * accuracy).select(*on)
-    out = _ranked_quantiles(data.join(big, on, "left_anti"), on, probs).unionByName(
-        _bracketed_quantiles(data.join(big, on, "left_semi"), on, probs, accuracy))
-    return out if keys else out.drop("_g")
-
-
-def _ranked_quantiles(data: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
-    """Quantiles of bounded groups from one sort per group."""
-    group = W.partitionBy(*keys)
-    ranked = data.withColumn("_k", F.row_number().over(group.orderBy("_x")) - 1).withColumn("_n", F.count("*").over(group))
-    aggs = []
-    for name, p in probs.items():
-        h = F.lit(p) * (F.col("_n") - 1)
-        value_at = lambda rank: F.max(F.when(F.col("_k") == rank, F.col("_x")))
-        low, high = value_at(F.floor(h)), value_at(F.ceil(h))
-        aggs.append((low + (high - low) * F.max(h - F.floor(h))).alias(name))
-    return ranked.groupBy(*keys).agg(*aggs)
-
-
-def _bracketed_quantiles(data: DataFrame, keys: list[str], probs: dict[str, float], accuracy: int) -> DataFrame:
-    """Quantiles of large groups. The sketch has a fixed size and a proven rank error of n / accuracy, so the wanted
-    ranks lie inside the bracket for certain; one aggregate counts the rest, and only bracketed values are ranked.
-    """
     names = sorted(probs, key=probs.get)
     slack = 2.0 / accuracy
     levels = [p for n in names for p in (max(0.0, probs[n] - slack), min(1.0, probs[n] + slack))]
     marks = data.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.min("_x").alias("_lowest"), F.max("_x").alias("_highest"), F.percentile_approx("_x", levels, accuracy).alias("_marks"))
-    lo = [F.col("_lowest") if probs[n] <= slack else F.col("_marks")[2 * i] for i, n in enumerate(names)]
-    hi = [F.col("_highest") if probs[n] >= 1 - slack else F.col("_marks")[2 * i + 1] for i, n in enumerate(names)]
-    # brackets belong to the key, not to the row
+    few = F.col("_n") <= 4 * accuracy  # a rank is more than the slack there
+    lo = [F.col("_lowest") if probs[n] <= slack else F.when(few, F.col("_lowest")).otherwise(F.col("_marks")[2 * i]) for i, n in enumerate(names)]
+    hi = [F.col("_highest") if probs[n] >= 1 - slack else F.when(few, F.col("_highest")).otherwise(F.col("_marks")[2 * i + 1]) for i, n in enumerate(names)]
+    # brackets belong to the key, not to the row; without keys they are one value, not a table to join
     marks = marks.select(*keys, F.struct("_n", F.array(*lo).alias("los"), F.array(*hi).alias("his")).alias("_m"))
+    marked = data.join(marks, keys) if keys else data.withColumn("_m", marks.scalar())
     # the first bracket that ends at or above the value holds it, or lies above it
     at = F.size(F.filter("_m.his", lambda h: h < F.col("_x")))
     start = F.get("_m.los", at)
     cell = F.when(F.col("_x") >= start, F.struct(F.col("_x").alias("v"), F.lit(1).alias("inside"))).when(
         start.isNotNull(), F.struct(start.alias("v"), F.lit(0).alias("inside")))
-    counts = data.join(marks, keys).withColumn("_cell", cell).filter("_cell IS NOT NULL").groupBy(*keys, "_cell").agg(F.count("*").alias("_c"), F.first("_m._n").alias("_n"))
+    counts = marked.withColumn("_cell", cell).filter("_cell IS NOT NULL").groupBy(*keys, "_cell").agg(F.count("*").alias("_c"), F.first("_m._n").alias("_n"))
     upto = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
     ranked = counts.withColumn("_hi", F.sum("_c").over(upto)).withColumn("_lo", F.col("_hi") - F.col("_c"))
     aggs = []

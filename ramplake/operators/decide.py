@@ -6,20 +6,20 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def decision_cost(p: Column, event: Column, threshold: Column, ratio: Column) -> Column:
-    """A false alarm costs one, a miss costs ``ratio``."""
+    """A false alarm costs one, a miss costs ``ratio``; what is not known has no cost."""
     alarm = p >= threshold
-    return F.when(alarm & ~event, 1.0).when(~alarm & event, ratio).otherwise(0.0)
+    return F.when(alarm.isNull() | event.isNull(), F.lit(None).cast("double")).when(alarm & ~event, 1.0).when(~alarm & event, ratio).otherwise(0.0)
 
 
 def threshold_counts(rows: DataFrame, keys: list[str], p: str, event: str, grid: list[float]) -> DataFrame:
     """False alarms, misses and alarms of every threshold, from one histogram of the forecasts.
 
     Rows are first counted per grid cell and outcome, so the sweep over the thresholds works on a few hundred
-    counts per key and never multiplies the rows. Costs follow from integer counts, so ties are exact.
+    counts per key and never multiplies the rows. Rows without forecast or outcome count for nothing. Costs follow from integer counts, so ties are exact.
     """
     knots = F.array(*[F.lit(float(t)) for t in grid])
     cell = F.size(F.filter(knots, lambda t: F.col(p) >= t))
-    hist = rows.groupBy(*keys, cell.alias("cell")).agg(F.count_if(F.col(event)).alias("_e"), F.count_if(~F.col(event)).alias("_q"))
+    hist = rows.filter(F.col(p).isNotNull() & F.col(event).isNotNull()).groupBy(*keys, cell.alias("cell")).agg(F.count_if(F.col(event)).alias("_e"), F.count_if(~F.col(event)).alias("_q"))
     spread = hist.select(*keys, "cell", "_e", "_q", F.posexplode(knots).alias("at", "threshold"))
     alarm = F.col("cell") > F.col("at")
     return spread.groupBy(*keys, "threshold").agg(

@@ -185,8 +185,12 @@ def nearest_units(units: DataFrame, k: int, metric: str = "haversine") -> DataFr
     while True:
         near = F.sequence(F.lit(-1), F.lit(1))
         left = a.withColumn("_i", F.explode(F.transform(near, lambda d: F.floor(F.col("lat1") / cell) + d)))
-        left = left.withColumn("_j", F.explode(F.transform(near, lambda d: F.floor(F.col("lon1") / cell) + d)))
-        right = b.withColumns({"_i": F.floor(F.col("lat2") / cell), "_j": F.floor(F.col("lon2") / cell)})
+        # on the globe columns are whole parts of the circle, and the last one lies beside the first
+        around = 0 if planar else max(1, int(360 // cell))
+        wide = cell if planar else 360 / around
+        column = lambda lon, d: F.floor(F.col(lon) / wide) + d if planar else F.pmod(F.floor((F.col(lon) + 180) / wide) + d, F.lit(around))
+        left = left.withColumn("_j", F.explode(F.array_distinct(F.transform(near, lambda d: column("lon1", d)))))
+        right = b.withColumns({"_i": F.floor(F.col("lat2") / cell), "_j": column("lon2", F.lit(0))})
         pairs = left.join(right, ["_i", "_j"]).drop("_i", "_j").filter("src <> dst").withColumn("distance_m", dist)
         ranked = cut_lineage(pairs.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k))
         if cell >= extent:

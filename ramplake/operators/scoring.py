@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ramplake.config import CLASSES, PATH_NODES, TIMING_BINS
 from ramplake.functions import paths
+from ramplake.functions.clip import at_least, at_most
 
 
 def path_summary(members: DataFrame, keys: list[str], path: str) -> DataFrame:
@@ -78,7 +79,7 @@ def quantile_metrics(df: DataFrame, keys: list[str], actual: str, columns: dict[
             continue
         alpha = 1 - (high - low)
         lo, hi = F.col(columns[low]), F.col(columns[high])
-        miss = F.greatest(lo - y, F.lit(0.0)) + F.greatest(y - hi, F.lit(0.0))
+        miss = at_least(lo - y, 0.0) + at_least(y - hi, 0.0)
         terms.append((alpha / 2) * (hi - lo) + miss)
         pairs.append((alpha, lo, hi))
     alpha, lo, hi = min(pairs, key=lambda t: abs(t[0] - (1 - coverage)))
@@ -93,7 +94,7 @@ def quantile_metrics(df: DataFrame, keys: list[str], actual: str, columns: dict[
 
 def reliability(df: DataFrame, keys: list[str], p: str, y: str, bins: int = 10) -> DataFrame:
     """Count, mean forecast, observed rate and gap per probability bin; the last bin includes one."""
-    b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).alias("bin")
+    b = at_most(F.floor(F.col(p) * bins), bins - 1).alias("bin")
     out = df.groupBy(*keys, b).agg(F.count("*").alias("n"), F.avg(p).alias("mean_pred"), F.avg(F.col(y).cast("double")).alias("obs_rate"))
     return out.withColumn("abs_gap", F.abs(F.col("mean_pred") - F.col("obs_rate")))
 

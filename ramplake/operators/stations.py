@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ramplake.config import EARTH_RADIUS_M
 from ramplake.functions import geo
 from ramplake.operators.chunks import exact_quantiles, windowed
+from ramplake.functions.clip import at_least, at_most, clip
 
 
 def normalize_stations(product: DataFrame, meta: DataFrame, value: str, quality: str | None = None) -> DataFrame:
@@ -74,7 +75,7 @@ def select_nearest(meta: DataFrame, threshold: float = 0.8, sizes: tuple[int, ..
 
 
 def upwind_alignment(bearing: Column, flow: Column) -> Column:
-    c = F.greatest(F.cos(bearing - flow), F.lit(0.0))
+    c = at_least(F.cos(bearing - flow), 0.0)
     return F.coalesce(c * c, F.lit(0.0))
 
 
@@ -115,7 +116,7 @@ def station_features(product: DataFrame) -> DataFrame:
 def network_prior(product: DataFrame, source: str = "upwind", top_k: int = 3) -> DataFrame:
     """Weighted u, v per time with direction, speed and confidence; sources mean, topk, upwind, physics."""
     data = product.filter("u100 IS NOT NULL AND v100 IS NOT NULL").withColumn("_ok", (F.coalesce("available", F.lit(0.0)) > 0.5).cast("double"))
-    data = data.withColumn("_up", F.greatest(F.coalesce("upwind_weight", F.lit(0.0)), F.lit(0.0)))
+    data = data.withColumn("_up", at_least(F.coalesce("upwind_weight", F.lit(0.0)), 0.0))
     if source == "topk":
         data = data.withColumn("_r", F.row_number().over(W.partitionBy("t").orderBy(F.desc("_up"), "station_id")))
         raw = F.when(F.col("_r") <= top_k, F.col("_up")).otherwise(0.0)
@@ -125,7 +126,7 @@ def network_prior(product: DataFrame, source: str = "upwind", top_k: int = 3) ->
     all_w = W.partitionBy("t")
     data = data.withColumn("_w", F.when(F.sum("_raw").over(all_w) > 0, F.col("_raw")).otherwise(1.0) * F.col("_ok"))
     aggs = [F.sum("_w").alias("_sw"), F.sum(F.col("u100") * F.col("_w")).alias("_su"), F.sum(F.col("v100") * F.col("_w")).alias("_sv"), F.sum("_ok").alias("_n"), F.count("*").alias("_all"),
-            F.sum(F.col("_ok") * (F.col("_up") > 0).cast("double")).alias("_np"), F.avg(F.least(F.greatest(F.coalesce("quality", F.lit(1.0)), F.lit(0.0)), F.lit(1.0))).alias("_q")]
+            F.sum(F.col("_ok") * (F.col("_up") > 0).cast("double")).alias("_np"), F.coalesce(F.avg(clip(F.col("quality"), 0.0, 1.0)), F.lit(1.0)).alias("_q")]
     if source == "physics":
         data = _signal(data)
         aggs += [F.sum(F.col("_sg") * F.cos("to_farm_rad")).alias("_gu"), F.sum(F.col("_sg") * F.sin("to_farm_rad")).alias("_gv"), F.sum(F.abs("_sg")).alias("_ga")]
@@ -134,17 +135,17 @@ def network_prior(product: DataFrame, source: str = "upwind", top_k: int = 3) ->
     if source == "physics":
         g = g.withColumns({"_u0": u, "_v0": v})
         norm, speed = F.hypot("_gu", "_gv"), F.hypot("_u0", "_v0")
-        strength = F.least(norm / F.greatest(F.col("_ga"), F.lit(1e-6)), F.lit(1.0))
+        strength = at_most(norm / at_least(F.col("_ga"), 1e-6), 1.0)
         du, dv = F.col("_gu") / F.greatest(norm, F.lit(1e-6)), F.col("_gv") / F.greatest(norm, F.lit(1e-6))
         agree = F.when(speed > 1e-6, (F.col("_u0") * du + F.col("_v0") * dv) / speed).otherwise(0.0)
-        mix = F.least(F.greatest(0.15 + 0.55 * strength * (0.5 + 0.5 * F.greatest(agree, F.lit(0.0))), F.lit(0.15)), F.lit(0.70))
+        mix = at_most(at_least(0.15 + 0.55 * strength * (0.5 + 0.5 * at_least(agree, 0.0)), 0.15), 0.70)
         mix = F.when(norm > 1e-6, mix).otherwise(0.0)
         target = F.when(speed > 1e-6, speed).otherwise(1.0)
         u, v = (1 - mix) * F.col("_u0") + mix * du * target, (1 - mix) * F.col("_v0") + mix * dv * target
-        extra = F.when(norm > 1e-6, 0.6 + 0.4 * strength).otherwise(0.6)
+        extra = F.when(norm > 1e-6, 0.6 + 0.4 * strength * (0.5 + 0.5 * at_least(agree, 0.0))).otherwise(0.6)
     ratio, share = F.col("_n") / F.col("_all"), F.col("_np") / F.col("_n")
-    confidence = ratio * (0.5 + 0.5 * share) * (0.5 + 0.5 * F.col("_q")) * (0.5 + 0.5 * F.least(F.col("_sw") / F.col("_n"), F.lit(1.0))) * extra
-    return g.select("t", u.alias("u"), v.alias("v"), F.atan2(v, u).alias("dir_rad"), F.hypot(u, v).alias("speed"), F.least(confidence, F.lit(1.0)).alias("confidence"), F.col("_n").cast("long").alias("stations"))
+    confidence = ratio * (0.5 + 0.5 * share) * (0.5 + 0.5 * F.col("_q")) * (0.5 + 0.5 * at_most(F.col("_sw") / F.col("_n"), 1.0)) * extra
+    return g.select("t", u.alias("u"), v.alias("v"), F.atan2(v, u).alias("dir_rad"), F.hypot(u, v).alias("speed"), at_most(confidence, 1.0).alias("confidence"), F.col("_n").cast("long").alias("stations"))
 
 
 def _signal(data: DataFrame) -> DataFrame:
@@ -154,11 +155,11 @@ def _signal(data: DataFrame) -> DataFrame:
         if c not in data.columns:
             return F.lit(0.0)
         sd, n = F.stddev_pop(c).over(w), F.count(c).over(w)
-        score = F.least(F.greatest((F.col(c) - F.avg(c).over(w)) / sd, F.lit(-3.0)), F.lit(3.0))
+        score = at_most(at_least((F.col(c) - F.avg(c).over(w)) / sd, -3.0), 3.0)
         return F.coalesce(F.when((n >= 2) & (sd >= 1e-6), score), F.lit(0.0))
     signal = z("value") + 0.45 * (0.7 * z("diff_1") + 0.3 * z("diff_3")) + 0.30 * z("dewpoint") - 0.25 * z("dryness") - 0.15 * z("pressure")
     share = F.try_divide(F.col("_w"), F.max("_w").over(w))
-    geom = F.col("_ok") * (0.25 + 0.75 * F.coalesce("distance_weight", F.lit(1.0))) * (0.35 + 0.65 * (0.5 + 0.5 * F.coalesce("upwind_alignment", F.lit(0.0)))) * (0.5 + 0.5 * F.coalesce(share, F.lit(0.0)))
+    geom = F.col("_ok") * (0.25 + 0.75 * F.coalesce("distance_weight", F.when(F.count("distance_weight").over(w) > 0, 0.0).otherwise(1.0))) * (0.35 + 0.65 * (0.5 + 0.5 * F.coalesce("upwind_alignment", F.lit(0.0)))) * (0.5 + 0.5 * F.coalesce(share, F.lit(0.0)))
     return data.withColumn("_sg", signal * geom)
 
 

@@ -148,10 +148,10 @@ def _(spark, sf):
     return rounded(c.select("b", *[F.col("c")[i].alias(f"f{i}") for i in range(7)]))
 
 
-@query("coarse_excess_variation", _NODE + """, coarse AS (SELECT b, k, x, x - lag(x) OVER (PARTITION BY b ORDER BY k) AS d FROM node WHERE k % 4 = 0)
+@query("coarse_excess_variation", _NODE + """, coarse AS (SELECT b, k, x, x - lag(x) OVER (PARTITION BY b ORDER BY k) AS d FROM node WHERE (k + b) % 4 = 0 OR k IN (0, 16))
 SELECT c.b, round(greatest(sum(abs(d)) - abs(any_value(x16) - any_value(x0)), 0) / 10, 6) AS excess FROM coarse c JOIN stats s USING (b) GROUP BY c.b""")
 def _(spark, sf):
-    return rounded(base.windows(spark, sf).select("b", paths.coarse_excess_variation("path").alias("excess")))
+    return rounded(base.windows(spark, sf).select("b", paths.coarse_excess_variation("path", F.pmod("b", F.lit(4))).alias("excess")))
 
 
 @query("sorted_interior", SQL_WIN + """, r AS (SELECT b, CASE WHEN k IN (0, 16) THEN k ELSE row_number() OVER (PARTITION BY b, k IN (0, 16) ORDER BY x) END AS pos, x FROM node)

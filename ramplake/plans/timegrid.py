@@ -14,8 +14,8 @@ U = ["unit"]
 
 @query("process_class_support", SQL_WIN + """
 SELECT split, y, count(*) AS windows, count(*) FILTER (WHERE arr < 16) AS down_events, sum(arr)::BIGINT AS arr_sum FROM win GROUP BY split, y""")
-def flagship(spark, sf):
-    win = base.windows(spark, sf)
+def flagship(spark, sf, minutes=base.BIN):
+    win = base.windows(spark, sf, minutes)
     return rounded(win.groupBy("split", "y").agg(
         F.count("*").alias("windows"), F.count_if(F.col("arr") < 16).alias("down_events"), F.sum("arr").alias("arr_sum")))
 

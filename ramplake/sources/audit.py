@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 FORBIDDEN_PARTS = ("raw", "private", "scada", "turbine", "coordinates", "operational_status", "whereTurbins.csv")
 FORBIDDEN_TEXT = r"(?i)(api[_ -]?key|authorization:|bearer\s+[A-Za-z0-9._-]{12,})"
 TEXT_SUFFIXES = (".md", ".json", ".txt", ".yml", ".yaml", ".cff")
-TEXT_LIMIT = 5_000_000
 
 
 def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -35,10 +34,10 @@ def md5_row_digest(df: DataFrame, keys: list[str], identity: Column) -> DataFram
 
 
 def privacy_hits(df: DataFrame, name: Column, text: Column) -> DataFrame:
-    """Rows whose path has a forbidden part, or whose text matches; texts above the size limit are not scanned."""
+    """Rows whose path has a forbidden part, or whose text matches."""
     parts = F.split(F.lower(name), "/")
     path_hit = F.arrays_overlap(parts, F.array(*[F.lit(p.lower()) for p in FORBIDDEN_PARTS]))
-    text_hit = (F.octet_length(text) <= TEXT_LIMIT) & text.rlike(FORBIDDEN_TEXT)
+    text_hit = text.rlike(FORBIDDEN_TEXT)
     return df.withColumns({"path_hit": F.coalesce(path_hit, F.lit(False)), "text_hit": F.coalesce(text_hit, F.lit(False))})
 
 

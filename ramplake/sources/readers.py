@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from ramplake.functions.clip import at_least
 
 # Header words that name the identifier, time, wind and power columns of raw files.
 ID_WORDS = ("名称", "机组", "turbine", "id", "machine_num", "machine", "pow_fan_id", "fan_id")
@@ -34,13 +37,17 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def clean_scada(raw: DataFrame, names: dict[str, str], *, wind: tuple[float, float], power_min: float, power_max: float = 0.0, start: str = "", end: str = "") -> DataFrame:
-    """Typed, clipped, range-filtered minute rows; ``end`` given as a date includes that whole day."""
-    number = lambda role: F.greatest(F.col(names[role]).try_cast("double"), F.lit(0.0))
+def typed_scada(raw: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Minute rows with types, negative readings as zero. A reading that is no number is null."""
+    number = lambda role: at_least(F.col(names[role]).try_cast("double"), 0.0)
     out = raw.select(
         F.col(names["id"]).cast("string").alias("turbine_id"), F.col(names["time"]).try_cast("timestamp").alias("datetime"),
         number("wind").alias("wind_speed_1min"), number("power").alias("power_1min_inst"), *[c for c in ("_file", "_at") if c in raw.columns])
-    out = out.filter(F.col("turbine_id").isNotNull() & F.col("datetime").isNotNull())
+    return out.filter(F.col("turbine_id").isNotNull() & F.col("datetime").isNotNull())
+
+
+def in_range(out: DataFrame, *, wind: tuple[float, float], power_min: float, power_max: float = 0.0, start: str = "", end: str = "") -> DataFrame:
+    """Rows with both readings in range; ``end`` given as a date includes that whole day."""
     out = out.filter(F.col("wind_speed_1min").between(*wind) & (F.col("power_1min_inst") >= power_min))
     if power_max > 0:
         out = out.filter(F.col("power_1min_inst") <= power_max)
@@ -52,27 +59,52 @@ def clean_scada(raw: DataFrame, names: dict[str, str], *, wind: tuple[float, flo
     return out
 
 
+def files_by_header(spark: SparkSession, paths: str | list[str], pattern: str, encoding: str, recursive: bool) -> dict[str, list[str]]:
+    """Files under each header line. Only file names and distinct headers come to the driver."""
+    lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).option("encoding", encoding).text(paths)
+    first = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+    heads = first.filter("block = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    out: dict[str, list[str]] = {}
+    for r in heads.orderBy("file").collect():
+        out.setdefault(r["header"], []).append(r["file"])
+    return out
+
+
 def read_scada_csv(
     spark: SparkSession, paths: str | list[str], *, pattern: str = "*.csv", encoding: str = "UTF-8", recursive: bool = False, overrides: dict[str, str] | None = None,
     wind: tuple[float, float] = (0.0, 50.0), power_min: float = 0.0, power_max: float = 0.0, start: str = "", end: str = "", id_prefix: str = "",
 ) -> DataFrame:
-    """Minute CSVs with keyword-resolved columns, de-duplicated on (unit, time) keeping the first by file and position."""
-    raw = spark.read.option("header", True).option("encoding", encoding).option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).csv(paths)
-    names = resolve_columns(raw.columns, {"id": ID_WORDS, "time": TIME_WORDS, "wind": WIND_WORDS, "power": POWER_WORDS}, overrides)
-    raw = raw.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())})
-    out = clean_scada(raw, names, wind=wind, power_min=power_min, power_max=power_max, start=start, end=end)
+    """Minute CSVs with keyword-resolved columns, de-duplicated on (unit, time) keeping the first by file and position.
+
+    Columns are resolved for each header that occurs; files without the needed columns are left out, and it is an error
+    if no file has them. Encoded ids are mapped per file, before rows out of range go.
+    """
+    parts, missing = [], None
+    for _, files in sorted(files_by_header(spark, paths, pattern, encoding, recursive).items()):
+        raw = spark.read.option("header", True).option("encoding", encoding).csv(files)
+        try:
+            names = resolve_columns(raw.columns, {"id": ID_WORDS, "time": TIME_WORDS, "wind": WIND_WORDS, "power": POWER_WORDS}, overrides)
+        except ValueError as error:
+            missing = error
+            continue
+        raw = raw.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())})
+        parts.append(typed_scada(raw, names))
+    if not parts:
+        raise missing or ValueError("no file to read")
+    out = reduce(DataFrame.unionByName, parts)
     if id_prefix:
-        out = remap_encoded_ids(out, "turbine_id", "datetime", id_prefix)
+        out = remap_encoded_ids(out, "turbine_id", "datetime", id_prefix, within=["_file"])
+    out = in_range(out, wind=wind, power_min=power_min, power_max=power_max, start=start, end=end)
     return keep_first(out, ["turbine_id", "datetime"], ["_file", "_at"]).drop("_file", "_at")
 
 
-def remap_encoded_ids(df: DataFrame, unit: str, time: str, prefix: str, max_id: int = 117) -> DataFrame:
+def remap_encoded_ids(df: DataFrame, unit: str, time: str, prefix: str, max_id: int = 117, within: list[str] | None = None) -> DataFrame:
     """Strip the prefix from identifiers at times where some identifier exceeds ``max_id``."""
     number = F.col(unit).cast("string").try_cast("long")
-    encoded = df.groupBy(time).agg((F.max(number) > max_id).alias("_encoded"))
+    encoded = df.groupBy(*(within or []), time).agg((F.max(number) > max_id).alias("_encoded"))
     suffix = F.regexp_replace(F.col(unit).cast("string"), f"^{prefix}", "")
     strip = F.col("_encoded") & F.col(unit).cast("string").startswith(prefix) & suffix.try_cast("long").between(1, max_id)
-    out = df.join(encoded, time)
+    out = df.join(encoded, [*(within or []), time])
     return out.withColumn(unit, F.when(F.coalesce(strip, F.lit(False)), suffix.try_cast("long").cast("string")).otherwise(F.col(unit).cast("string"))).drop("_encoded")
 
 

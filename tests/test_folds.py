@@ -97,7 +97,7 @@ def best_by_search(x, knots):
             best = (reward, tuple(chain))
         for a in range(i, len(knots)):
             for b in range(a + 1, len(knots)):
-                d = np.diff(x[knots[a]: knots[b] + 1])
+                d = np.diff(x[knots[a: b + 1]])
                 if ((d >= 0).all() or (d <= 0).all()) and abs(x[knots[b]] - x[knots[a]]) >= 0.2:
                     grow(b, reward + (knots[b] - knots[a]) ** 2, chain + [(knots[a], knots[b])])
     grow(0, 0.0, [])
