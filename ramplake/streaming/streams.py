@@ -40,16 +40,19 @@ def streaming_regularize(stream: DataFrame, keys: list[str], ts: str, value: str
 
 
 def causal_fill(stream: DataFrame, key: str, limit: int) -> DataFrame:
-    """Carry the last value forward for at most ``limit`` bins; state per unit is one value and its bin.
+    """Carry the last value forward for at most ``limit`` bins; state per unit is one value, its bin and the last bin seen.
 
-    Input: key, b, x (null where missing). Rows of a micro-batch are put in order first.
+    Input: key, b, x (null where missing). Rows of a micro-batch are put in order first. A row at or before a bin that an
+    earlier micro-batch has passed comes too late to be filled causally, and is dropped: its bin has been decided.
     """
     types = dict(stream.dtypes)
     schema = f"{key} {types[key]}, b bigint, x double, gap_filled boolean"
 
     def step(k, batches, state):
-        last_b, last_x = state.get if state.exists else (None, None)
+        seen, last_b, last_x = state.get if state.exists else (None, None, None)
         rows = pd.concat(list(batches)).sort_values("b")
+        if seen is not None:
+            rows = rows[rows["b"] > seen]
         out = []
         for b, x in zip(rows["b"], rows["x"]):
             missing = x is None or x != x
@@ -60,17 +63,18 @@ def causal_fill(stream: DataFrame, key: str, limit: int) -> DataFrame:
                 out.append((k[0], int(b), last_x, True))
             else:
                 out.append((k[0], int(b), None, False))
-        if last_b is not None:
-            state.update((last_b, last_x))
+        if len(rows):
+            state.update((int(rows["b"].iloc[-1]), last_b, last_x))
         yield pd.DataFrame(out, columns=[key, "b", "x", "gap_filled"])
 
-    return stream.groupBy(key).applyInPandasWithState(step, schema, "b bigint, x double", "append", "NoTimeout")
+    return stream.groupBy(key).applyInPandasWithState(step, schema, "seen bigint, b bigint, x double", "append", "NoTimeout")
 
 
 def online_doors(stream: DataFrame, key: str, epsilon: float, kind: str = "swing") -> DataFrame:
     """Swinging door over a stream of bins: emits a segment when it closes, or when the run breaks.
 
-    Input: key, b, x with missing bins left out. The state is the open segment, so it never grows.
+    Input: key, b, x with missing bins left out. The state is the open segment, so it never grows. Rows at or before the
+    last bin of an earlier micro-batch are dropped; they are no break of the run.
     """
     import numpy as np
 
@@ -86,6 +90,8 @@ def online_doors(stream: DataFrame, key: str, epsilon: float, kind: str = "swing
             held = (s, xs, low, high, epsilon, 0, "")
         else:
             held, pb, px = None, None, None
+        if pb is not None:
+            b, x = b[b > pb], x[b > pb]
         cuts = [0, *(np.flatnonzero(np.diff(b) != 1) + 1).tolist(), len(b)]
         for lo, hi in zip(cuts, cuts[1:]):
             if lo == hi:
