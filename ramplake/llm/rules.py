@@ -154,3 +154,39 @@ def filter_quality(docs: DataFrame, labels: DataFrame, *, alpha: float = ALPHA,
     """
     stats = cut_lineage(document_stats(docs))
     return apply_rules(stats, cut_lineage(safe_cutoffs(stats, labels, alpha=alpha, delta=delta)))
+
+
+def oracle(alpha: float = ALPHA, delta: float = DELTA) -> str:
+    """The same verdicts in SQL, with the rules and their cutoffs as rows."""
+    word = r"[^\x20\x09-\x0D]+"
+    ratios = ", ".join(f"('{r}', CASE WHEN {bottom} > 0 THEN {top} / {bottom}::DOUBLE ELSE 0 END)" for r, (top, bottom, _) in RULES.items())
+    cuts = ", ".join(f"('{r}', {j}, {c!r}::DOUBLE)" for r, (_, _, all_cuts) in RULES.items() for j, c in enumerate(all_cuts))
+    limit = f"{alpha / len(RULES)!r}::DOUBLE"
+    return f"""
+WITH base AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM base),
+grams AS (SELECT doc_id, i, word || ' ' || lead(word) OVER d || ' ' || lead(word, 2) OVER d AS g FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams WHERE g IS NOT NULL) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(3) AS r(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM base),
+counted AS (SELECT doc_id, count(*) AS n, count(DISTINCT line) AS kinds FROM lines WHERE regexp_matches(line, '{word}') GROUP BY doc_id),
+stats AS (
+  SELECT b.doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    CASE WHEN len(w) > 0 THEN length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) ELSE 0 END::BIGINT AS n_symbols, coalesce(l.n - l.kinds, 0)::BIGINT AS n_dup_lines,
+    coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(l.n, 0)::BIGINT AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!]', '', 'g')) AS n_marks
+  FROM base b LEFT JOIN covered c USING (doc_id) LEFT JOIN counted l USING (doc_id)),
+checked AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM stats),
+ratios AS (SELECT doc_id, lang, base_failed, v.rule, v.ratio FROM checked, LATERAL (VALUES {ratios}) AS v(rule, ratio)),
+cuts AS (SELECT * FROM (VALUES {cuts}) AS v(rule, j, cutoff)),
+good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+tested AS (
+  SELECT lang, rule, j, cutoff, count(*) AS n, count(*) FILTER (WHERE ratio > cutoff) AS k
+  FROM ratios JOIN cuts USING (rule) WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY ALL),
+tails AS (
+  SELECT *, list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - CASE WHEN i = n THEN 0 ELSE lgamma(n - i + 1) END + i * ln({limit}) + (n - i) * ln(1 - {limit})))) AS tail FROM tested),
+safe AS (
+  SELECT *, bool_and(tail <= {delta!r}::DOUBLE / {len(RULES)} / (SELECT count(*) FROM (SELECT DISTINCT lang FROM stats))) OVER (PARTITION BY lang, rule ORDER BY j) AS passes FROM tails),
+chosen AS (SELECT lang, rule, min(cutoff) AS cutoff FROM safe WHERE passes GROUP BY lang, rule),
+rejected AS (SELECT DISTINCT doc_id FROM ratios r JOIN chosen c ON r.lang IS NOT DISTINCT FROM c.lang AND r.rule = c.rule WHERE ratio > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept FROM checked
+"""
