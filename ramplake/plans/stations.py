@@ -136,7 +136,21 @@ def _(spark, sf):
     return rounded(st.network_prior(_weighted(spark, sf), "upwind").select(*_PCOLS))
 
 
-@query("network_prior_physics")
+_PHYSICS = SQL_ST + """,
+w2 AS (SELECT *, CASE WHEN sum(w) OVER (PARTITION BY t) > 0 THEN w ELSE 1 END AS ww FROM wt),
+zs AS (SELECT *, CASE WHEN count(value) OVER p >= 2 AND stddev_pop(value) OVER p >= 1e-6 THEN greatest(least((value - avg(value) OVER p) / stddev_pop(value) OVER p, 3), -3) ELSE 0 END
+ * (0.25::DOUBLE + 0.75::DOUBLE * dw) * (0.35::DOUBLE + 0.65::DOUBLE * (0.5::DOUBLE + 0.5::DOUBLE * align)) * (0.5::DOUBLE + 0.5::DOUBLE * coalesce(ww / nullif(max(ww) OVER p, 0), 0)) AS sg FROM w2 WINDOW p AS (PARTITION BY t)),
+gg AS (SELECT t, sum(u100 * ww) / sum(ww) AS u0, sum(v100 * ww) / sum(ww) AS v0, sum(sg * cos(to_farm_rad)) AS gu, sum(sg * sin(to_farm_rad)) AS gv, sum(abs(sg)) AS ga, count(*) AS n, avg((w > 0)::INT) AS share, sum(ww) AS sw FROM zs GROUP BY t),
+nn AS (SELECT *, sqrt(gu * gu + gv * gv) AS norm, sqrt(u0 * u0 + v0 * v0) AS sp FROM gg),
+aa AS (SELECT *, least(norm / greatest(ga, 1e-6), 1) AS strength, gu / greatest(norm, 1e-6) AS du, gv / greatest(norm, 1e-6) AS dv FROM nn),
+ag AS (SELECT *, CASE WHEN sp > 1e-6 THEN greatest((u0 * du + v0 * dv) / sp, 0) ELSE 0 END AS agree FROM aa),
+mx AS (SELECT *, CASE WHEN norm > 1e-6 THEN least(greatest(0.15::DOUBLE + 0.55::DOUBLE * strength * (0.5::DOUBLE + 0.5::DOUBLE * agree), 0.15), 0.7) ELSE 0 END AS mix, CASE WHEN sp > 1e-6 THEN sp ELSE 1 END AS target,
+ CASE WHEN norm > 1e-6 THEN 0.6::DOUBLE + 0.4::DOUBLE * strength * (0.5::DOUBLE + 0.5::DOUBLE * agree) ELSE 0.6 END AS extra FROM ag),
+uv AS (SELECT *, (1 - mix) * u0 + mix * du * target AS u, (1 - mix) * v0 + mix * dv * target AS v FROM mx)
+SELECT t, round(u, 6) AS u, round(v, 6) AS v, round(sqrt(u * u + v * v), 6) AS speed, round(least((0.5::DOUBLE + 0.5::DOUBLE * share) * (0.5::DOUBLE + 0.5::DOUBLE * least(sw / n, 1)) * extra, 1), 6) AS confidence, n AS stations FROM uv"""
+
+
+@query("network_prior_physics", _PHYSICS)
 def _(spark, sf):
     return rounded(st.network_prior(_weighted(spark, sf), "physics").select(*_PCOLS))
 
