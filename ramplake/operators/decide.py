@@ -35,15 +35,23 @@ def select_threshold(rows: DataFrame, keys: list[str], p: str, event: str, grid:
     return priced.groupBy(*keys, "ratio").agg(F.min_by(F.struct("threshold", (cost / F.col("n")).alias("cost")), F.struct(cost, "threshold")).alias("s")).select(*keys, "ratio", "s.*")
 
 
-def constant_policies(train: DataFrame, rows: DataFrame, keys: list[str], event: str, ratios: list[float]) -> DataFrame:
-    """Mean cost of never, always and frequency-driven alerting on the given rows, and the best of them."""
+def constant_policies(train: DataFrame, rows: DataFrame, keys: list[str], event: str, ratios: list[float], validation: DataFrame | None = None) -> DataFrame:
+    """Mean cost of never, always and frequency-driven alerting on the given rows, and the best of them.
+
+    With validation rows also of the policy that is cheaper there (never, if both cost the same): validation_choice.
+    """
     rate = train.groupBy(*keys).agg(F.avg(F.col(event).cast("double")).alias("_f"))
     base = rows.groupBy(*keys).agg(F.avg(F.col(event).cast("double")).alias("event_rate"), F.count("*").alias("n")).join(rate, keys)
     base = base.withColumn("ratio", F.explode(F.array(*[F.lit(float(r)) for r in ratios])))
     never, always = F.col("ratio") * F.col("event_rate"), 1 - F.col("event_rate")
     by_rate = F.when(F.col("_f") * F.col("ratio") >= 1 - F.col("_f"), always).otherwise(never)
     out = base.withColumns({"never": never, "always": always, "train_frequency": by_rate})
-    return out.withColumn("best_constant", F.least("never", "always")).drop("_f")
+    out = out.withColumn("best_constant", F.least("never", "always")).drop("_f")
+    if validation is None:
+        return out
+    seen = validation.groupBy(*keys).agg(F.avg(F.col(event).cast("double")).alias("_v"))
+    choice = F.when(F.col("ratio") * F.col("_v") <= 1 - F.col("_v"), F.col("never")).otherwise(F.col("always"))
+    return out.join(seen, keys).withColumn("validation_choice", choice).drop("_v")
 
 
 def decision_table(rows: DataFrame, keys: list[str], p: str, event: str, chosen: DataFrame, constants: DataFrame) -> DataFrame:

@@ -79,14 +79,18 @@ def upwind_alignment(bearing: Column, flow: Column) -> Column:
     return F.coalesce(c * c, F.lit(0.0))
 
 
-def select_upwind(product: DataFrame, meta: DataFrame, times: Column, *, threshold: float = 0.8, target: int = 10, minimum: int = 4, sigma_m: float = 350000.0) -> DataFrame:
-    """Stations by coverage × alignment × distance weight; too few of them is an error."""
+def select_upwind(product: DataFrame, meta: DataFrame, times: Column, *, threshold: float = 0.8, fallback: float = 0.05, target: int = 10, minimum: int = 4, sigma_m: float = 350000.0) -> DataFrame:
+    """Stations by coverage × alignment × distance weight. Where too few reach the coverage, the fallback applies to all;
+    too few then is an error."""
     aligned = product.join(meta.select("station_id", "to_farm_rad"), "station_id")
     per_time = aligned.groupBy("station_id", "t").agg(F.avg(upwind_alignment(F.col("to_farm_rad"), F.col("flow_rad"))).alias("_a"))
     mean = per_time.groupBy("station_id").agg((F.sum("_a") / times).alias("alignment"))
     out = meta.join(mean, "station_id", "left").withColumn("alignment", F.coalesce("alignment", F.lit(0.0)))
     out = out.withColumn("distance_weight", F.exp(-F.col("distance_m") / sigma_m))
-    score = (F.col("coverage") >= threshold).cast("double") * F.col("coverage") * F.col("alignment") * F.col("distance_weight")
+    possible = F.col("coverage") * F.col("alignment") * F.col("distance_weight")
+    enough = out.agg(F.count_if((F.col("coverage") >= threshold) & (possible > 0)) >= minimum).scalar()
+    needed = F.when(enough, F.lit(threshold)).otherwise(F.lit(min(threshold, fallback)))
+    score = (F.col("coverage") >= needed).cast("double") * possible
     ranked = out.withColumn("score", score).filter("score > 0").orderBy(F.desc("score"), F.desc("coverage"), F.desc("alignment"), "distance_m", "station_id").limit(target)
     found = ranked.agg(F.count("*")).scalar()
     return ranked.filter(F.when(found >= minimum, True).otherwise(F.raise_error(F.lit("too few upwind stations")).cast("boolean")))

@@ -57,6 +57,15 @@ def _(spark, sf):
     return rounded(dc.constant_policies(rows.filter("split = 'train'"), rows.filter("split = 'test'"), K, "ev", RATIOS))
 
 
+@query("constant_policy_by_validation", SQL_DEC + """, va AS (SELECT arm, lead, avg(ev::INT) AS v FROM r WHERE split = 'validation' GROUP BY 1, 2)
+SELECT arm, lead, ratio, round(CASE WHEN ratio * v <= 1 - v THEN never ELSE always END, 6) AS validation_choice FROM cs JOIN va USING (arm, lead)""")
+def _(spark, sf):
+    rows = cut_lineage(_rows(spark, sf))
+    part = lambda name: rows.filter(F.col("split") == name)
+    out = dc.constant_policies(part("train"), part("test"), K, "ev", RATIOS, part("validation"))
+    return rounded(out.select(*K, "ratio", "validation_choice"))
+
+
 @query("decision_table", SQL_DEC + "SELECT arm, lead, ratio, threshold, round(fc_cost, 6) AS forecast_cost, round(alert_rate, 6) AS alert_rate, round(100 * (1 - fc_cost / nullif(best_constant, 0)), 4) AS reduction_vs_constant_pct, round(100 * (1 - fc_cost / nullif(never, 0)), 4) AS reduction_vs_never_pct FROM dt JOIN cs USING (arm, lead, ratio)")
 def _(spark, sf):
     rows = cut_lineage(_rows(spark, sf))

@@ -93,6 +93,18 @@ def _(spark, sf):
     return rounded(st.select_upwind(prod, meta, times, threshold=0.05).select("station_id", "score"), 8)
 
 
+_FALLBACK = SQL_ST + """, mn AS (SELECT station_id, sum(align) / (SELECT n FROM nt) AS alignment FROM al GROUP BY 1),
+ps AS (SELECT cv.station_id, coverage, coalesce(alignment, 0) AS alignment, distance_m, coverage * coalesce(alignment, 0) * exp(-distance_m / 350000) AS possible FROM cv LEFT JOIN mn USING (station_id)),
+th AS (SELECT CASE WHEN count(*) FILTER (WHERE coverage >= 0.8::DOUBLE AND possible > 0) >= 4 THEN 0.8::DOUBLE ELSE 0.05::DOUBLE END AS threshold FROM ps)
+SELECT station_id, round(possible, 8) AS score FROM ps, th WHERE coverage >= threshold AND possible > 0 ORDER BY possible DESC, coverage DESC, alignment DESC, distance_m, station_id LIMIT 10"""
+
+
+@query("select_upwind_fallback", _FALLBACK)
+def _(spark, sf):
+    prod, meta, times = _upwind(spark, sf)
+    return rounded(st.select_upwind(prod, meta, times).select("station_id", "score"), 8)
+
+
 def _weighted(spark, sf):
     prod, meta, times = _upwind(spark, sf)
     return st.upwind_weights(prod, meta.withColumn("distance_weight", F.exp(-F.col("distance_m") / 350000.0)), 0.05)
