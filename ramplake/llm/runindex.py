@@ -30,6 +30,8 @@ from ramplake.llm.common import cut_lineage
 LENGTH, WINDOW = 200, 32
 #: Starts of one piece at most; long stretches of one hash, as in periodic texts, are several pieces.
 PIECE_STARTS = 512
+#: Starts of a long text that are hashed at once.
+SEGMENT = 1 << 20
 BLOCK_BYTES, HOT_PIECES = 1 << 20, 8192
 SEEDS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 KEYS = ["doc", "sum", "n"]
@@ -67,7 +69,18 @@ def sliding_least(values: np.ndarray, count: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def pieces(raw: bytes, length: int, window: int) -> tuple[np.ndarray, ...]:
+def pieces(raw: bytes, length: int, window: int, segment: int = SEGMENT) -> tuple[np.ndarray, ...]:
+    """Pieces of a text, of long texts segment by segment, so that the arrays stay small."""
+    if len(raw) < segment + length:
+        return segment_pieces(raw, length, window)
+    parts = []
+    for begin in range(0, len(raw) - length + 1, segment):
+        v, c, first, sizes, again = segment_pieces(raw[begin : begin + segment + length - 1], length, window)
+        parts.append((v, c, first + begin, sizes, again))
+    return tuple(np.concatenate(p) for p in zip(*parts))
+
+
+def segment_pieces(raw: bytes, length: int, window: int) -> tuple[np.ndarray, ...]:
     """Pieces of a text: least hash, a hash of all its bytes, first start, number of starts, whether the least hash comes
     twice in it (without that, or another piece of the hash, no string of the piece can be anywhere else)."""
     if len(raw) < length:

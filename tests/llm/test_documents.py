@@ -345,6 +345,19 @@ def test_remove_repeats(spark, messy, messy_rows, empty, hot):
     assert runindex.remove_repeats(empty).count() == 0
 
 
+def test_pieces_cover_every_start_once():
+    rng = np.random.default_rng(8)
+    raw = bytes(rng.integers(97, 100, 9000).astype(np.uint8)) + b"ab" * 2000
+    whole = runindex.pieces(raw, 200, 32)
+    for segment in (300, 1000, 1 << 20):
+        v, c, first, sizes, again = runindex.pieces(raw, 200, 32, segment)
+        assert np.array_equal(np.concatenate([np.arange(a, a + n) for a, n in zip(first, sizes)]), np.arange(len(raw) - 199))
+        assert np.array_equal(np.repeat(v, sizes), np.repeat(whole[0], whole[3]))
+        content = {}
+        for name, a, n in zip(zip(v, c), first, sizes):
+            assert content.setdefault(name, raw[a : a + n + 199]) == raw[a : a + n + 199]
+
+
 def test_matching_statistics():
     rng = np.random.default_rng(4)
     for _ in range(40):
