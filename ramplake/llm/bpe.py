@@ -9,25 +9,31 @@ are merged exactly, many at a time, always the pair of lowest rank and among equ
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
-from tokenizers import Tokenizer
 
-from ramplake.llm.common import slices
+from ramplake.llm.common import cut_lineage, slices
 from ramplake.llm.lexicon import Lexicon, compile_lexicon
 
 LEXICON_WORDS = 65_536
 LEXICON_WORD_BYTES = 48
-#: Pieces remembered by one task; the memory is emptied when full.
-MEMO_PIECES = 400_000
+#: Chunks remembered by one task; the memory is emptied when full.
+MEMO_CHUNKS = 200_000
 MATRIX_LETTERS = 64
 NONE = np.iinfo(np.int32).max
+WHITE = regex.compile(r"\s+")
+CHUNK_END = np.int32(-1).tobytes()
+SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Ids that decoding puts together at once.
+DECODE_IDS = 250_000
 
 
 def byte_letters() -> list[str]:
@@ -40,6 +46,8 @@ def byte_letters() -> list[str]:
 def newer_letters(path: str) -> tuple[list[int], dict[int, str]]:
     """Code points on which the tables here and the tokenizers library's differ, as Unicode versions do: those that are
     letters or digits only here, and the lower case of those that have one only there. The library is asked."""
+    from tokenizers import Tokenizer  # here only: tasks don't need it
+
     reference = Tokenizer.from_file(path)
     newer = [m[0] for m in regex.finditer(r"[\p{L}\p{N}]", "".join(chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000)) if unicodedata.category(m[0]) == "Cn"]
     lower = {ord(c): low for c in newer if (low := reference.normalizer.normalize_str(c)) != c}
@@ -81,21 +89,26 @@ class Vocabulary:
         self.merged = np.array([m for *_, m in pairs], np.int32)
         self.marks, self.newer_lower = newer_letters(path)
 
-    def pieces(self, text: str) -> Iterator[list[str] | int]:
-        """Pieces of a text, in lists, with the ids of the special tokens that stand between them."""
-        if self._special is None:
-            yield self._split(text)
-            return
+    def chunks(self, text: str) -> list[str | int]:
+        """The text between white space, with the ids of special tokens where they stand. No piece spans white space."""
+        if not any(t in text for t in self.special):
+            return self._words(text)
+        out: list[str | int] = []
         at = 0
         for m in self._special.finditer(text):
-            yield self._split(text[at : m.start()])
-            yield self.special[m[0]]
+            out += self._words(text[at : m.start()])
+            out.append(self.special[m[0]])
             at = m.end()
-        yield self._split(text[at:])
+        return out + self._words(text[at:])
+
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        """As str.split, but for the four separators that are no white space in the tokenizer's pattern."""
+        return [w for w in WHITE.split(text) if w] if SEPARATORS.search(text) else text.split()
 
     def ready(self) -> Vocabulary:
         """Compiles what isn't sent to the tasks."""
-        self._find = regex.compile(self.pattern).findall
+        self._find = regex.compile(self.pattern + "|\n").findall
         longest_first = sorted(self.special, key=len, reverse=True)
         self._special = regex.compile("|".join(map(regex.escape, longest_first))) if longest_first else None
         marks, self._newer, self._find_newer = char_class(self.marks), None, None
@@ -103,15 +116,17 @@ class Vocabulary:
             # the same pattern with letters and digits less the marks
             careful = self.pattern.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|[{marks}])").replace(r"[\p{L}]", rf"[\p{{L}}--[{marks}]]").replace(r"[\p{N}]", rf"[\p{{N}}--[{marks}]]")
             self._newer = regex.compile(f"[{marks}{char_class(sorted(self.newer_lower))}]")
-            self._find_newer = regex.compile(careful, regex.V1).findall
+            self._find_newer = regex.compile(careful + "|\n", regex.V1).findall
         return self
 
-    def _split(self, text: str) -> list[str]:
-        """NFC, lower case letter by letter (without the rule for a sigma at a word's end), pieces."""
+    def pieces(self, chunks: list[str]) -> list[str]:
+        """The pieces of all chunks, each chunk ended by a line feed, which no chunk holds: NFC, lower case letter by
+        letter (without the rule for a sigma at a word's end), pattern."""
+        text = "\n".join([*chunks, ""])
         if text.isascii():
             return self._find(text.lower())
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        if self._newer and self._newer.search(text):
+        if self._newer and len(text.encode("latin-1", "ignore")) < len(text) and self._newer.search(text):
             return self._find_newer(text.translate(self.newer_lower))
         return self._find(text)
 
@@ -120,43 +135,41 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NONE)
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word by merging its bytes."""
-        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(words)
-        short: dict[int, list[int]] = {}
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, as bytes of 32-bit integers, by merging its letters."""
+        out, short = [b""] * len(words), {}
         for i, w in enumerate(words):
             if len(w) > MATRIX_LETTERS:
-                out[i] = self._merge_long(w)
+                out[i] = self._merge_long(w).tobytes()
             elif w:
                 short.setdefault((len(w) + 3) // 4, []).append(i)
         for rows in short.values():
             for k in range(0, len(rows), 16_384):
                 part = rows[k : k + 16_384]
-                for i, ids in zip(part, self._merge_matrix([words[i] for i in part])):
-                    out[i] = ids
+                flat, ends = self._merge_matrix([words[i] for i in part])
+                for i, a, b in zip(part, [0, *ends], ends):
+                    out[i] = flat[a:b]
         return out
 
-    def _merge_matrix(self, words: list[bytes]) -> list[np.ndarray]:
-        """One row a word; every round merges the best pair of each row that still has one."""
+    def _merge_matrix(self, words: list[bytes]) -> tuple[bytes, list[int]]:
+        """One row a word; every round merges the best pair of each row that still has one. Ids one word after the other, and ends."""
         n, lengths = len(words), np.fromiter(map(len, words), np.int64, len(words))
         width = int(lengths.max()) + 1
-        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
+        raw = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(n, width)
         ids = self.inner[raw]
         ids[np.arange(n), lengths - 1] = self.last[raw[np.arange(n), lengths - 1]]
         places = np.arange(width)
         rank = self.ranks(ids[:, :-1], ids[:, 1:])
         rank[places[:-1] >= lengths[:, None] - 1] = NONE
-        done: list[np.ndarray | None] = [None] * n
-        rows = np.arange(n)
+        final, ended, rows = np.empty((n, width), np.int32), np.empty(n, np.int64), np.arange(n)
         while len(rows):
             at = rank.argmin(1)
             best = rank[np.arange(len(rows)), at]
             over = best == NONE
-            for k in np.flatnonzero(over):
-                done[rows[k]] = ids[k, : lengths[k]].copy()
-            if over.all():
-                break
-            rows, ids, rank, lengths, at, best = rows[~over], ids[~over], rank[~over], lengths[~over], at[~over], best[~over]
+            if over.any():
+                final[rows[over]], ended[rows[over]] = ids[over], lengths[over]
+                go = ~over
+                rows, ids, rank, lengths, at, best = rows[go], ids[go], rank[go], lengths[go], at[go], best[go]
             here = np.arange(len(rows))
             ids[here, at] = self.merged[best]
             lengths = lengths - 1
@@ -164,11 +177,10 @@ class Vocabulary:
             ids[:, :-1] = np.where(move, ids[:, 1:], ids[:, :-1])
             rank[:, :-1] = np.where(move[:, :-1], rank[:, 1:], rank[:, :-1])
             rank[:, -1] = NONE
-            right = self.ranks(ids[here, at], ids[here, at + 1])
-            rank[here, at] = np.where(at < lengths - 1, right, NONE)
-            some = at > 0
-            rank[here[some], at[some] - 1] = self.ranks(ids[here[some], at[some] - 1], ids[here[some], at[some]])
-        return done
+            rank[here, at] = np.where(at < lengths - 1, self.ranks(ids[here, at], ids[here, at + 1]), NONE)
+            some = np.flatnonzero(at > 0)
+            rank[some, at[some] - 1] = self.ranks(ids[some, at[some] - 1], ids[some, at[some]])
+        return final[places < ended[:, None]].tobytes(), (4 * np.cumsum(ended)).tolist()
 
     def _merge_long(self, word: bytes) -> np.ndarray:
         """The same merges for a long word. All places of the best pair, without overlaps, are taken from the left in one
@@ -203,33 +215,38 @@ class Vocabulary:
 class Encoder:
     """Encodes texts in a task: memo, then lexicon, then merges."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
-        self.vocabulary, self.lexicon, self.memo = vocabulary.ready(), lexicon, {}
-
-    def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.memo]
-        words = [p.encode() for p in new]
-        places = self.lexicon.places(words) if self.lexicon else np.full(len(words), -1)
-        for k in np.flatnonzero(places >= 0):
-            self.memo[new[k]] = self.lexicon.ids(places[k]).tobytes()
-        rest = np.flatnonzero(places < 0)
-        for k, ids in zip(rest, self.vocabulary.merge([words[k] for k in rest])):
-            self.memo[new[k]] = ids.tobytes()
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, room: int = MEMO_CHUNKS):
+        self.vocabulary, self.lexicon, self.room, self.memo = vocabulary.ready(), lexicon, room, {}
+        self.specials = set(vocabulary.special.values())
+
+    def learn(self, chunks: list[str]) -> None:
+        """Remembers chunks: known pieces from the lexicon, all others merged."""
+        pieces = self.vocabulary.pieces(chunks)
+        distinct = list(set(pieces) - {"\n"})
+        words = [p.encode() for p in distinct]
+        ids, rest = {"\n": CHUNK_END}, range(len(words))
+        if self.lexicon:
+            places = self.lexicon.places(words)
+            known = np.flatnonzero(places >= 0)
+            ids.update(zip([distinct[k] for k in known], self.lexicon.ids(places[known])))
+            rest = np.flatnonzero(places < 0).tolist()
+        ids.update(zip([distinct[k] for k in rest], self.vocabulary.merge([words[k] for k in rest])))
+        flat = b"".join(map(ids.__getitem__, pieces))
+        ends = (4 * np.flatnonzero(np.frombuffer(flat, np.int32) == -1)).tolist()
+        self.memo.update(zip(chunks, [flat[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [list(self.vocabulary.pieces(t)) for t in texts]
-        distinct: set[str] = set()
-        for text in parts:
-            for p in text:
-                if not isinstance(p, int):
-                    distinct.update(p)
-        if len(self.memo) + len(distinct) > MEMO_PIECES:
-            self.memo.clear()
-        self.learn(distinct)
-        one, out = self.memo.__getitem__, []
-        for text in parts:
-            out.append(np.frombuffer(b"".join(np.int32(p).tobytes() if isinstance(p, int) else b"".join(map(one, p)) for p in text), np.int32))
-        return out
+        memo = self.memo
+        parts = [self.vocabulary.chunks(t) for t in texts]
+        distinct = set().union(*parts)
+        new = distinct - memo.keys()
+        if len(memo) + len(new) > self.room:
+            memo.clear()
+            new = distinct
+        for c in new & self.specials:
+            memo[c] = np.int32(c).tobytes()
+        self.learn(list(new - self.specials))
+        return [np.frombuffer(b"".join(map(memo.__getitem__, part)), np.int32) for part in parts]
 
 
 def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -238,21 +255,28 @@ def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary.ready()
-        seen: Counter[str] = Counter()
+        seen: Counter[str | int] = Counter()
 
         def sent() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
+            words = [c for c in seen if not isinstance(c, int)]
+            pieces = vocabulary.pieces(words)
+            number = {p: k for k, p in enumerate(dict.fromkeys(pieces))}
+            at = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+            ended = at == number["\n"]
+            of = np.cumsum(ended) - ended  # the chunk that a piece is of
+            times = np.fromiter((seen[c] for c in words), np.int64, len(words))
+            seen.clear()
+            total = np.bincount(at[~ended], weights=times[of[~ended]], minlength=len(number)).astype(np.int64)
+            del number["\n"]
+            return pa.record_batch([pa.array(list(number), pa.string()), pa.array(np.delete(total, at[ended][0]))], ["piece", "n"])
 
         for batch in batches:
             for _, texts in slices(batch, text):
                 for t in texts:
-                    for p in vocabulary.pieces(t):
-                        if not isinstance(p, int):
-                            seen.update(p)
-                if len(seen) > MEMO_PIECES:
+                    seen.update(vocabulary.chunks(t))
+                if len(seen) > MEMO_CHUNKS:
                     yield sent()
-                    seen.clear()
-        if seen:
+        if any(not isinstance(c, int) for c in seen):
             yield sent()
 
     counted = docs.select(text).mapInArrow(count, "piece string, n long")
@@ -260,20 +284,42 @@ def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def frequent_lexicon(docs: DataFrame, path: str, text: str = "text", words: int = LEXICON_WORDS) -> bytes:
-    """The compiled transducer of the `words` most frequent pieces of up to LEXICON_WORD_BYTES bytes, ties by piece.
+    """The compiled transducer of the most frequent pieces of up to LEXICON_WORD_BYTES bytes, `words` at most.
 
-    Only a shortcut: it is bounded (65,536 short pieces, about 2 MB), and pieces outside it are merged. Counts cover
-    all documents.
+    Counts cover all documents; a piece is in if its count is in a class (an eighth of a power of two wide) that still
+    fits as a whole, so no order of all pieces is needed. The lexicon is a shortcut only: it is bounded (65,536 short
+    pieces, about 2 MB), and pieces outside it are merged.
     """
-    top = word_counts(docs, path, text).filter(F.octet_length("piece").between(1, LEXICON_WORD_BYTES)).orderBy(F.desc("n"), "piece").limit(words)
-    pieces = [r["piece"].encode() for r in top.select("piece").collect()]
-    return compile_lexicon({p: ids.tolist() for p, ids in zip(pieces, Vocabulary(path).merge(pieces))})
-
-
-def encode(docs: DataFrame, path: str, *, text: str = "text", doc: str = "doc_id", lexicon: bytes | None = None) -> DataFrame:
+    kind = F.floor(8 * F.log2("n"))
+    counts = cut_lineage(word_counts(docs, path, text).filter((F.col("n") > 1) & F.octet_length("piece").between(1, LEXICON_WORD_BYTES)))
+    room, least = words, None
+    for r in sorted(counts.groupBy(kind.alias("kind")).count().collect(), key=lambda r: -r["kind"]):  # a few hundred classes at most
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r["kind"]
+    frequent = counts.filter(kind >= least).select("piece").collect() if least is not None else []
+    pieces = [r["piece"].encode() for r in frequent]
+    return compile_lexicon({p: np.frombuffer(ids, np.int32) for p, ids in zip(pieces, Vocabulary(path).merge(pieces))})
+
+
+def decoded(tokens: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Texts of id sequences, given one after the other with their ends: tokens joined by spaces, unknown ids left out."""
+    parts, row = [], 0
+    while row < len(ends) - 1:
+        n = max(1, int(np.searchsorted(ends, ends[row] + DECODE_IDS, "right")) - 1 - row)
+        part, upto = ids[ends[row] : ends[row + n]], ends[row : row + n + 1] - ends[row]
+        known = (part >= 0) & (part < len(tokens))
+        upto = np.concatenate([[0], np.cumsum(known)])[upto].astype(np.int32)
+        parts.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(upto), tokens.take(pa.array(part[known]))), " "))
+        row += n
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+def encode(docs: DataFrame, path: str, *, text: str = "text", doc: str = "doc_id", lexicon: bytes | None = None, decode_too: bool = False) -> DataFrame:
     """Ids of every whole text: columns `doc` and ids array<int>, a row for each row of `docs`.
 
     Null and empty texts give no ids. Repeated rows stay; other columns aren't read. Without a lexicon all pieces are merged.
+    decode_too adds column decoded, what `decode` makes of the ids, in the same task.
     """
     vocabulary, sc = Vocabulary(path), docs.sparkSession.sparkContext
     shared = sc.broadcast(lexicon) if lexicon else None
@@ -281,29 +327,29 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", doc: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary, Lexicon.at(shared.value) if shared else None)
+        tokens = pa.array(vocabulary.tokens)
         for batch in batches:
             for part, texts in slices(batch, text):
                 ids = encoder.encode(texts)
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], [doc, "ids"])
+                ends, flat = np.cumsum([0, *map(len, ids)], dtype=np.int32), np.concatenate(ids)
+                columns = [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                columns += [decoded(tokens, flat, ends)] if decode_too else []
+                yield pa.record_batch(columns, [doc, "ids", "decoded"][: len(columns)])
 
-    return docs.select(doc, text).mapInArrow(run, f"`{doc}` {kind}, ids array<int>")
+    return docs.select(doc, text).mapInArrow(run, f"`{doc}` {kind}, ids array<int>" + ", decoded string" * decode_too)
 
 
 def decode(encoded: DataFrame, path: str, *, doc: str = "doc_id") -> DataFrame:
-    """Texts of id sequences, tokens joined by spaces: adds column decoded. Null ids give an empty text, unknown ids nothing."""
+    """Texts of id sequences, tokens joined by spaces: columns `doc`, ids, decoded. Null ids give an empty text, unknown ids nothing."""
     vocabulary = Vocabulary(path)
     kind = encoded.schema[doc].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, size = vocabulary.tokens, len(vocabulary.tokens)
+        tokens = pa.array(vocabulary.tokens)
         for batch in batches:
-            texts = []
-            for row in range(batch.num_rows):
-                ids = batch.column(1)[row]
-                ids = ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else np.empty(0, np.int32)
-                known = ids[(ids >= 0) & (ids < size)].astype(np.int64)
-                texts.append(" ".join(map(tokens.__getitem__, known.tolist())))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [doc, "ids", "decoded"])
+            lists = batch.column(1)
+            lengths = np.where(lists.is_valid().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()), 0)
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            yield pa.record_batch([batch.column(0), lists, decoded(tokens, lists.flatten().to_numpy(zero_copy_only=False), ends)], [doc, "ids", "decoded"])
 
     return encoded.select(doc, "ids").mapInArrow(run, f"`{doc}` {kind}, ids array<int>, decoded string")

@@ -74,6 +74,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
             size += len(texts[-1])
         yield batch.slice(start, len(texts)), texts
         start += len(texts)
+    pa.default_memory_pool().release_unused()  # the worker lives on, beside others
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -8,16 +8,15 @@ words of a batch at once.
 
 from __future__ import annotations
 
-import hashlib
-import os
 import tempfile
+from collections.abc import Sequence
 
 import numpy as np
 
 MAGIC = b"LEXI\x01\x00\x00\x00"
 
 
-def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
+def compile_lexicon(entries: dict[bytes, Sequence[int]]) -> bytes:
     """The file for `entries`, whose keys are non-empty byte strings."""
     words = sorted(entries)
     register: dict[tuple, int] = {}
@@ -76,7 +75,7 @@ KINDS = (np.int64, np.int32, np.int32, np.uint8, np.int64, np.int32)
 
 
 class Lexicon:
-    """Reader of a compiled file. `at` writes the bytes once a machine, beside the process, and maps them."""
+    """Reader of a compiled file. `at` maps the bytes from a file of the task's own, which goes when the mapping does."""
 
     def __init__(self, data: np.ndarray):
         if data[:8].tobytes() != MAGIC:
@@ -85,19 +84,16 @@ class Lexicon:
         place, arrays = 64, []
         for kind, size in zip(KINDS, sizes):
             n = size * np.dtype(kind).itemsize
-            arrays.append(data[place : place + n].view(kind))
+            arrays.append(np.asarray(data[place : place + n]).view(kind))
             place += n + -n % 8
         self.keys, self.targets, self.before, self.final, self.starts, self.pool = arrays
 
     @classmethod
     def at(cls, blob: bytes) -> Lexicon:
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(blob).hexdigest()[:24]}")
-        if not os.path.exists(path):
-            fd, part = tempfile.mkstemp(dir=os.path.dirname(path))
-            with os.fdopen(fd, "wb") as f:
-                f.write(blob)
-            os.replace(part, path)  # whole or not at all, also when two workers start together
-        return cls(np.memmap(path, np.uint8, "r"))
+        with tempfile.NamedTemporaryFile(prefix="lexicon-") as f:  # the name goes at once, the pages with the mapping
+            f.write(blob)
+            f.flush()
+            return cls(np.memmap(f.name, np.uint8, "r"))
 
     def __len__(self) -> int:
         return len(self.starts) - 1
@@ -130,5 +126,7 @@ class Lexicon:
             live = live[~ended]
         return out
 
-    def ids(self, place: int) -> np.ndarray:
-        return self.pool[self.starts[place] : self.starts[place + 1]]
+    def ids(self, places: np.ndarray) -> list[bytes]:
+        """Ids of known places, as bytes of 32-bit integers."""
+        pool = memoryview(self.pool).cast("B")
+        return [bytes(pool[a:b]) for a, b in zip((4 * self.starts[places]).tolist(), (4 * self.starts[places + 1]).tolist())]

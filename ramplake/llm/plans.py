@@ -31,8 +31,7 @@ def word_model() -> str:
 @query("op1_bpe_lexicon")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = load(spark, sf_dir, "documents"), word_model()
-    encoded = bpe.encode(docs, path, lexicon=bpe.frequent_lexicon(docs, path))
-    return bpe.decode(encoded, path).select(
+    return bpe.encode(docs, path, lexicon=bpe.frequent_lexicon(docs, path), decode_too=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -80,6 +80,8 @@ def test_encode_and_decode_messy(spark, messy, messy_rows, library, memo, monkey
     lexicon = bpe.frequent_lexicon(messy, PATH, words=300)
     assert 0 < len(Lexicon.at(lexicon)) <= 300
     got = bpe.decode(bpe.encode(messy, PATH, lexicon=lexicon), PATH).collect()
+    fused = bpe.encode(messy, PATH, lexicon=lexicon, decode_too=True).collect()
+    assert sorted(map(str, fused)) == sorted(map(str, got))
     want = []
     for doc, text, *_ in messy_rows:
         ids = library.encode(text or "", add_special_tokens=False).ids
