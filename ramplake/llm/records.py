@@ -2,8 +2,9 @@
 
 A data file is a run of frames: the payload's length (8 bytes), the masked CRC-32C of those 8 bytes, the payload, the
 masked CRC-32C of the payload, all little-endian; readers of such record files can read it. A payload is one document:
-its id (8 bytes), 1 or 0 as it has an id or not (4), the number of token ids (4), the ids (4 each). An index file holds
-for each record its offset and the number of ids before it in the file, so a reader can fetch records in any order.
+its id (8 bytes), 1 or 0 as it has an id or not (2), the bytes of a token id (2), the number of token ids (4), the ids, of
+two bytes where all of the document's fit and of four elsewhere. An index file holds for each record its offset and the
+number of ids before it in the file, so a reader can fetch records in any order.
 Files are in ascending order of document id; a manifest table names them. It is written last and lists one file for each
 partition, so what a lost or repeated task has left behind is never read.
 """
@@ -12,7 +13,6 @@ from __future__ import annotations
 
 import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,8 +29,10 @@ POLYNOMIAL = 0x82F63B78
 BLOCK = 64
 #: Bytes of a frame beside its payload.
 FRAME = 16
+#: Chunks that a writing task remembers.
+MEMO = 500_000
 #: Records that one reading step fetches.
-STRIDE = 1024
+STRIDE = 512
 
 
 @lru_cache(maxsize=None)
@@ -137,8 +139,9 @@ def write_records(docs: DataFrame, folder: str, encode, *, end_id: int | None =
                     data, index = files.open_output_stream(path + ".rec"), files.open_output_stream(path + ".idx")
                 payloads, entries = [], []
                 for doc_id, tokens in zip(piece.column(0).to_pylist(), tokenize(texts)):
-                    tokens = np.append(tokens, end_id).astype("<u4") if end_id is not None else np.asarray(tokens, "<u4")
-                    payloads.append(struct.pack("<qII", doc_id or 0, doc_id is not None, len(tokens)) + tokens.tobytes())
+                    tokens = np.append(tokens, end_id) if end_id is not None else tokens
+                    kind = "<u2" if len(tokens) and tokens.max() < 1 << 16 else "<u4"
+                    payloads.append(struct.pack("<qHHI", doc_id or 0, doc_id is not None, int(kind[2]), len(tokens)) + tokens.astype(kind).tobytes())
                     entries.append((at, ids))
                     at, ids, records = at + FRAME + len(payloads[-1]), ids + len(tokens), records + 1
                 data.write(b"".join(frames(payloads)))
@@ -155,7 +158,8 @@ def write_records(docs: DataFrame, folder: str, encode, *, end_id: int | None =
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record by way of the index: columns doc_id, start (ids of all records before it), ids array<long>."""
+    """Every record by way of the index: columns doc_id, start (ids of all records before it), ids (binary: unsigned
+    32-bit little-endian integers)."""
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     before = F.coalesce(F.sum("n_ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_records") - 1, F.lit(STRIDE).cast("long")))
@@ -174,30 +178,16 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
                     data = f.read_at(end - begin, begin)
                 docs, parts = [], []
                 for payload in unframe(data, (index[:n, 0] - begin).tolist()):
-                    doc_id, known, length = struct.unpack_from("<qII", payload)
+                    doc_id, known, width, length = struct.unpack_from("<qHHI", payload)
                     docs.append(doc_id if known else None)
-                    parts.append(np.frombuffer(payload, "<u4", length, 16))
-                ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+                    parts.append(np.frombuffer(payload, f"<u{width}", length, 16).astype("<u4").tobytes())
                 starts = pa.array(index[:n, 1] + step["before"], pa.int64())
-                yield pa.record_batch([pa.array(docs, pa.int64()), starts, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(np.int64)))], ["doc_id", "start", "ids"])
+                yield pa.record_batch([pa.array(docs, pa.int64()), starts, pa.array(parts, pa.binary())], ["doc_id", "start", "ids"])
 
-    return steps.mapInArrow(run, "doc_id long, start long, ids array<long>")
+    return steps.mapInArrow(run, "doc_id long, start long, ids binary")
 
 
 def bpe_encoder(path: str):
     """For write_records: ids as the tokenizers library gives them, by the exact merges of `bpe`."""
     vocabulary = Vocabulary(path)
-    return lambda: Encoder(vocabulary).encode
-
-
-def ids_crc32(encoded: DataFrame) -> DataFrame:
-    """Columns doc_id, start, n_tokens and ids_crc32 of read records: the CRC-32 of the ids as unsigned 32-bit little-endian integers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(2)
-            ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends, ends[1:])]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return encoded.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return lambda: Encoder(vocabulary, room=MEMO).encode
