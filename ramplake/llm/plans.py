@@ -62,7 +62,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-@query("op9_safe_rules")
+@query("op9_safe_rules", rules.oracle())
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.filter_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -14,11 +14,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ramplake.llm.common import cut_lineage, slices
+from ramplake.llm.common import by_batch, cut_lineage, slices
 
 ALPHA, DELTA = 0.02, 0.05
 SYMBOLS = b"#*$%&|<>"
@@ -129,12 +128,12 @@ def safe_cutoffs(stats: DataFrame, labels: DataFrame, *, alpha: float = ALPHA, d
     table = seen.groupBy("stratum", "rule").agg(F.array(*(F.coalesce(F.sum(F.when(F.col("over") == j, F.col("count"))), F.lit(0)) for j in range(width))).alias("counts"))
     level = delta / len(RULES) / max(1, stats.select("stratum").distinct().count())
 
-    @F.pandas_udf("double")
-    def chosen(rule: pd.Series, counts: pd.Series) -> pd.Series:
-        return pd.Series([strictest(list(c), RULES[r][2], alpha / len(RULES), level) for r, c in zip(rule, counts)], dtype=float)
+    def chosen(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cutoffs = [strictest(c, RULES[r][2], alpha / len(RULES), level) for r, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array(cutoffs, pa.float64())], ["stratum", "rule", "cutoff"])
 
-    picked = table.select("stratum", "rule", chosen("rule", "counts").alias("cutoff"))
-    return picked.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.nanvl("cutoff", F.lit(None).cast("double")))).alias(r) for r in RULES))
+    picked = by_batch(table.select("stratum", "rule", "counts"), chosen, "stratum string, rule string, cutoff double")
+    return picked.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(r) for r in RULES))
 
 
 def apply_rules(stats: DataFrame, cutoffs: DataFrame) -> DataFrame:
