@@ -13,7 +13,7 @@ from ramplake.plans.base import SQL_SCALED
 from ramplake.plans.registry import load, query, rounded
 from ramplake.plans.scalar import shapes
 
-BUDGET = {"trees": 10, "depth": 6, "leaf": 4}
+BUDGET = {"trees": 150, "depth": 16, "leaf": 32}
 
 
 def samples(spark, sf):
@@ -41,7 +41,7 @@ def _(spark, sf):
 @query("timing_forest")
 def _(spark, sf):
     train, rest = _split(samples(spark, sf))
-    out = md.timing_forest(train, rest, trees=10, depth=6, leaf=4, least=50)
+    out = md.timing_forest(train, rest)
     return rounded(out.select("id", "arr", F.col("q")[0].alias("q0"), F.aggregate("q", F.lit(0.0), lambda a, v: a + v).alias("total")))
 
 
@@ -248,4 +248,4 @@ def _(spark, sf):
 @query("sampled_medoids")
 def _(spark, sf):
     s, _ = _shape_split(spark, sf)
-    return md.sampled_medoids(s, "vec_id", "x", 5, sample=128, repeats=3)[0].select("vec_id", "label", "cluster")
+    return md.sampled_medoids(s, "vec_id", "x", 5)[0].select("vec_id", "label", "cluster")
