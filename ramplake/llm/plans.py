@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ramplake.llm import bpe, licenses, linededup, mixing, quality, records, rules, runindex, simhash, topk
-from ramplake.llm.common import fresh_folder, load
+from ramplake.llm.common import cut_lineage, fresh_folder, load, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,7 +50,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_curriculum_mix", mixing.ORACLE)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(load(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    sizes = cut_lineage(load(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("words")))
+    mixed = mixing.mix(sizes, size=F.col("words"))
     return mixed.select("doc.doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"))
 
 
