@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by multi-index hashing.
+"""SimHash near-duplicates by the one-bit neighbours of whole fingerprints.
 
 A fingerprint holds the majority, bit by bit, of the hashes of a text's shingles. Fingerprints are equal texts' keys
 first: only distinct ones are searched. Each is filed under every point of the radius-1 balls of its four 16-bit
@@ -56,7 +56,9 @@ def fingerprints(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", sh
 
 
 def near_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Links (a, b) between distinct fingerprints of column fp, enough to connect all within `distance` bits."""
+    """Links (a, b) between distinct fingerprints of column fp, enough to connect all within `distance` bits: two at most."""
+    if distance > DISTANCE:
+        raise ValueError(f"balls of radius 1 find links of {DISTANCE} bits at most, not {distance}")
     segments = [F.array(*(F.col("fp").bitwiseXOR(F.lit(1 << bit if bit < 63 else -(1 << 63))) for bit in range(low, low + SEGMENT))) for low in range(0, BITS, SEGMENT)]
     filed = distinct.select("fp", F.explode(F.concat(F.array("fp"), *segments)).alias("point"))
     matched = filed.select("fp", F.lag("fp").over(W.partitionBy("point").orderBy("fp")).alias("other")).filter("other IS NOT NULL")
