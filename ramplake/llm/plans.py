@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ramplake.llm import bpe, licenses, linededup, mixing, quality, records, rules, runindex, simhash, topk
+from ramplake.llm import bpe, licenses, linededup, mixing, periodic, quality, records, rules, runindex, simhash, topk
 from ramplake.llm.common import cut_lineage, fresh_folder, load, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = runindex.remove_repeats(load(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_periodic_runs", periodic.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(load(spark, sf_dir, "documents"), words=periodic.planted)
+    listing = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = found.select("doc_id", "runs", "collapsed", periodic.strongest().alias("best"))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(listing, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
