@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ramplake.llm import bpe, licenses, linededup, mixing, periodic, quality, records, rules, runindex, simhash, topk
+from ramplake.llm import bpe, licenses, linededup, mixing, periodic, quality, records, rules, runindex, simhash, sketch, topk
 from ramplake.llm.common import cut_lineage, fresh_folder, load, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
         F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
         F.sha2(listing, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_scaled_sketch")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sketch.compare_with_next(load(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.lower(F.hex("sketch")).alias("fingerprint"),
+        F.lower(F.hex("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
