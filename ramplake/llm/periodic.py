@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ramplake.llm.common import slices
+from ramplake.llm.sqltext import BYTES, crc32_sql
 
 #: A run has MIN_WORDS words at least and MIN_TIMES times its period at least.
 MIN_WORDS, MIN_TIMES = 6, 4
@@ -213,14 +214,9 @@ def planted(doc: int | None, text: str) -> Words:
     return words[:at] + [words[at + k % (1 + (n - at) // (3 + g % 8))] for k in range(n - at)]
 
 
-ORACLE = r"""
-WITH bytes AS (
-  SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
-base AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, xor(4294967295, list_reduce(
-    list_concat([4294967295], list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda k: ascii(substr(doc_id::VARCHAR, k, 1))::BIGINT)),
-    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
-  FROM documents, bytes),
+ORACLE = rf"""
+WITH {BYTES},
+base AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {crc32_sql('doc_id::VARCHAR')} AS h FROM documents, bytes),
 sized AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS changed, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) ELSE 0 END AS a, 3 + (h // 10) % 8 AS parts FROM base),
 placed AS (SELECT doc_id, w, changed, a, 1 + (n - a) // parts AS p, unnest(range(n)) AS i FROM sized),
 words AS (SELECT doc_id, i, w[1 + CASE WHEN changed AND i >= a THEN a + (i - a) % p ELSE i END] AS word FROM placed),

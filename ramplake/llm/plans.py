@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ramplake.llm import bpe, licenses, linededup, mixing, periodic, quality, records, rules, runindex, simhash, sketch, topk
+from ramplake.llm import bpe, licenses, linededup, mixing, periodic, quality, records, rules, runindex, simhash, sketch, topk, trie
 from ramplake.llm.common import cut_lineage, fresh_folder, load, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.lower(F.hex("sketch")).alias("fingerprint"),
         F.lower(F.hex("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query("op13_prefix_trie", trie.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(load(spark, sf_dir, "conversations"))
