@@ -70,22 +70,31 @@ class Model:
 BLANK = Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0, 0.5)
 
 
-def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    return np.clip((x - mean) / scale, -6, 6)
+def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    out = np.subtract(x, mean, out=out)
+    out /= scale
+    return np.clip(out, -6, 6, out=out)
 
 
 def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Adam on the non-negative risk; where the bad part falls below zero, its gradient is reversed."""
+    """Adam on the non-negative risk; where the bad part falls below zero, its gradient is reversed. The rows are read as
+    they are, without copies; the parameters, bias last, are of double precision."""
     d = positive.shape[1]
-    p, u = np.hstack([positive, np.ones((len(positive), 1))]), np.hstack([unlabelled, np.ones((len(unlabelled), 1))])
     theta, first, second = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
     decay = np.append(np.full(d, DECAY), 0.0)
+
+    def outputs(x: np.ndarray) -> np.ndarray:
+        return x @ theta[:-1].astype(x.dtype) + theta[-1]
+
+    def mean_of(x: np.ndarray, factors: np.ndarray) -> np.ndarray:
+        return np.append(x.T @ factors.astype(x.dtype), factors.sum()) / len(x)
+
     for step in range(1, steps + 1):
-        zp, zu = p @ theta, u @ theta
+        zp, zu = outputs(positive), outputs(unlabelled)
         sp, su = 1 / (1 + np.exp(-np.clip(zp, -30, 30))), 1 / (1 + np.exp(-np.clip(zu, -30, 30)))
         bad = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_bad = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
-        gradient = -prior * (p.T @ (1 - sp)) / len(p) + g_bad if bad >= 0 else -g_bad
+        g_bad = mean_of(unlabelled, su) - prior * mean_of(positive, sp)
+        gradient = -prior * mean_of(positive, 1 - sp) + g_bad if bad >= 0 else -g_bad
         gradient = gradient + decay * theta
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
@@ -104,10 +113,12 @@ def class_prior(held: np.ndarray, unlabelled: np.ndarray, slack: float = 0.05) -
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> Model:
+    """The arrays are overwritten with their standardised values: the sample is held once."""
     if not len(positive) or not len(unlabelled):
         return BLANK
-    mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
-    p, u = standard(positive, mean, scale), standard(unlabelled, mean, scale)
+    mean = unlabelled.mean(0, dtype=float)
+    scale = np.sqrt(np.maximum(0, [np.square(unlabelled[:, k] - m).mean(dtype=float) for k, m in enumerate(mean)])) + 1e-3
+    p, u = (standard(x, mean.astype(x.dtype), scale.astype(x.dtype), out=x) for x in (positive, unlabelled))
     if prior is None:
         if len(p) < 20:
             prior = 0.5
@@ -124,10 +135,10 @@ def held_out(doc: str = "doc_id") -> Column:
 
 def training_ids(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> DataFrame:
     """A sample of ids outside the held-out fold: columns doc_id and positive. Its size is bounded by the two parameters,
-    up to the chance of a hash."""
+    up to the chance of a hash. Unlabelled are all documents, whatever their labels: the risk is that of all text."""
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("low"))
     trusted = known.filter(~held_out()).filter("low = 1").select("doc_id", F.lit(True).alias("positive"))
-    web = docs.filter(F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long")).distinct().join(known, "doc_id", "left_anti").select("doc_id", F.lit(False).alias("positive"))
+    web = docs.filter(F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long")).distinct().select("doc_id", F.lit(False).alias("positive"))
 
     def thinned(rows: DataFrame, bound: int) -> DataFrame:
         share = bound / max(bound, rows.count())
@@ -137,21 +148,27 @@ def training_ids(docs: DataFrame, labels: DataFrame, positives: int, unlabelled:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None) -> Model:
+    """The model of a bounded sample of `docs`. Null texts are empty ones; rows without id and labels that are null count
+    for nothing; without trusted positives or without documents outside the held-out fold, the blank model."""
     ids = F.broadcast(training_ids(docs, labels, positives, unlabelled))  # 36,000 short rows at most, by the bounds
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id").select("positive", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id")
+    rows = rows.select("doc_id", "positive", F.xxhash64("text").alias("h"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                yield pa.record_batch([part.column(0), pa.array([features(t).tobytes() for t in texts], pa.binary())], ["positive", "x"])
-
-    sample = rows.mapInArrow(run, "positive boolean, x binary").toPandas()
-    x = np.frombuffer(b"".join(sample["x"]), np.float32).reshape(-1, N_FEATURES).astype(float)
-    # in one order, whatever the tasks' order was
-    flag = sample["positive"].to_numpy(bool)
-    order = np.lexsort(np.vstack([x.T[::-1], flag])) if len(x) else np.empty(0, int)
-    x, flag = x[order], flag[order]
-    return fit(x[flag], x[~flag], prior)
+                yield pa.record_batch([*part.columns[:3], pa.array([features(t).tobytes() for t in texts], pa.binary())], ["doc_id", "positive", "h", "x"])
+
+    found = rows.mapInArrow(run, "doc_id long, positive boolean, h long, x binary")
+    # one row for each id and text, however often a table repeats it
+    sample = found.groupBy("doc_id", "positive", "h").agg(F.first("x").alias("x")).select("positive", "x").toArrow()
+    # in one order, whatever the tasks' order was; each part is one array, held once
+    parts = []
+    for flag in (True, False):
+        found = sorted(x for x, positive in zip(sample["x"].to_pylist(), sample["positive"].to_pylist()) if positive == flag)
+        parts.append(np.frombuffer(bytearray().join(found), np.float32).reshape(-1, N_FEATURES))
+    del sample, found
+    return fit(*parts, prior)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", doc: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:

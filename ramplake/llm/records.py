@@ -31,8 +31,9 @@ BLOCK = 64
 FRAME = 16
 #: Chunks that a writing task remembers.
 MEMO = 500_000
-#: Records that one reading step fetches.
+#: Records that one reading step fetches, and bytes of records that one reading task does, about.
 STRIDE = 512
+TASK_BYTES = 1 << 25
 
 
 @lru_cache(maxsize=None)
@@ -159,11 +160,12 @@ def write_records(docs: DataFrame, folder: str, encode, *, end_id: int | None =
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """Every record by way of the index: columns doc_id, start (ids of all records before it), ids (binary: unsigned
-    32-bit little-endian integers)."""
+    32-bit little-endian integers). The number of tasks follows the bytes in the manifest."""
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    tasks = 1 + (manifest.agg(F.sum("n_bytes").alias("n")).first().n or 0) // TASK_BYTES
     before = F.coalesce(F.sum("n_ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_records") - 1, F.lit(STRIDE).cast("long")))
-    steps = manifest.select("path", "n_records", "n_bytes", before.alias("before")).select("*", first.alias("first")).repartition("path", "first")
+    steps = manifest.select("path", "n_records", "n_bytes", before.alias("before")).select("*", first.alias("first")).repartition(tasks, "path", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, _ = pafs.FileSystem.from_uri(folder)

@@ -101,8 +101,8 @@ def containment(sketches: DataFrame, union: DataFrame, key: str) -> DataFrame:
     return joined.select("m.doc_id", F.col(key), (F.col("c") / F.col("n")).alias("contained"))
 
 
-def chunked(docs: DataFrame, text: str, doc: str) -> DataFrame:
-    """Columns chunk, guest, doc_id, h and text: documents in chunks of neighbours in ascending order of id, then text hash;
+def chunked(docs: DataFrame, text: str, doc: str) -> tuple[DataFrame, int]:
+    """A table and its number of chunks. Columns chunk, guest, doc_id, h and text: documents in chunks of neighbours in ascending order of id, then text hash;
     each chunk also holds, as a guest after its own rows, the first document of the next chunk (of the first, after the last).
 
     The chunks' least keys are found from ids and hashes alone, by a range partitioning, and looked up in two steps, so
@@ -110,8 +110,8 @@ def chunked(docs: DataFrame, text: str, doc: str) -> DataFrame:
     """
     key = F.struct(F.col(doc).isNotNull().alias("known"), F.col(doc).cast("long").alias("id"), F.xxhash64(text).alias("h"))
     keys = cut_lineage(docs.select(key.alias("key"), F.octet_length(text).alias("bytes")))
-    n = keys.agg(F.coalesce(F.ceil(F.sum("bytes") / CHUNK_BYTES), F.lit(1)).alias("n")).first().n
-    least = keys.repartitionByRange(max(1, int(n)), "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("key"))
+    n = max(1, int(keys.agg(F.coalesce(F.ceil(F.sum("bytes") / CHUNK_BYTES), F.lit(1)).alias("n")).first().n))
+    least = keys.repartitionByRange(n, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("key"))
     bounds = cut_lineage(least.agg(F.sort_array(F.collect_set("key")).alias("bounds")))  # a key for each chunk
     width = F.ceil(F.sqrt(F.size("bounds"))).cast("int")
     steps = F.sequence(F.lit(0), F.floor((F.size("bounds") - 1) / width).cast("int"))
@@ -124,7 +124,7 @@ def chunked(docs: DataFrame, text: str, doc: str) -> DataFrame:
     rows = rows.withColumn("chunk", F.col("cell") * F.col("m.width") + F.size(inner) - 1).withColumn("first", F.element_at(inner, -1) == F.col("key"))
     places = F.when(F.col("first"), F.array(F.struct("chunk", F.lit(False).alias("guest")), F.struct(F.pmod(F.col("chunk") - 1, F.col("m.n")).alias("chunk"), F.lit(True).alias("guest"))))
     rows = rows.select("key", "text", F.explode(F.coalesce(places, F.array(F.struct("chunk", F.lit(False).alias("guest"))))).alias("place"))
-    return rows.select("place.chunk", "place.guest", F.col("key.id").alias("doc_id"), "key.h", "text")
+    return rows.select("place.chunk", "place.guest", F.col("key.id").alias("doc_id"), "key.h", "text"), n
 
 
 def spliced(text: str, following: str) -> str:
@@ -142,7 +142,9 @@ def compare_with_next(docs: DataFrame, *, text: str = "text", doc: str = "doc_id
     last, and a single one itself. Null texts are empty ones. Repeated rows follow one another. An empty table gives an
     empty one.
     """
-    rows = chunked(docs, text, doc).repartition("chunk").sortWithinPartitions("chunk", "guest", F.col("doc_id").asc_nulls_first(), "h")
+    rows, n = chunked(docs, text, doc)
+    # by range: a hash would put several chunks into one task
+    rows = rows.repartitionByRange(n, "chunk").sortWithinPartitions("chunk", "guest", F.col("doc_id").asc_nulls_first(), "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_row = None  # (chunk, doc_id, text, sketch) of a document that waits for the next

@@ -416,3 +416,12 @@ def test_quality_on_messy_rows(spark, messy, messy_rows, empty):
         kept = quality.keep_good(messy, model)
         assert kept.columns == messy.columns and kept.count() == sum(r["predicted"] for r in got)
     assert quality.train(empty, labels) is quality.BLANK and quality.score(empty, quality.BLANK).count() == 0 and quality.keep_good(empty, quality.BLANK).count() == 0
+
+
+def test_sample_takes_each_document_once(spark):
+    """A much repeated id brings one row; labelled documents are part of the unlabelled text too."""
+    rows = [(i, f"words of document {i} " * (1 + i % 5), 1) for i in range(60)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    hot = docs.union(spark.range(3000).selectExpr("7L", "'words of document 7 ' || repeat('words of document 7 ', 2)"))
+    once, often = quality.train(docs, labels), quality.train(hot, labels)
+    assert once is not quality.BLANK and np.allclose(once.mean, often.mean) and np.allclose(once.weights, often.weights)

@@ -9,7 +9,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from ramplake.llm import mixing, quality
-from test_documents import components, lines_by_brute_force, print_of, words
+from test_documents import lines_by_brute_force, words
+from test_jaccard import kept_by_brute_force
 
 
 @pytest.fixture(scope="module")
@@ -44,11 +45,8 @@ def test_stages(spark, sf_dir):
 
     third = near_stage(spark, second, sf_dir).cache()
     left = [tuple(r) for r in second.select("doc_id", "text").collect()]
-    lowest = {}
-    for name, (doc, _) in zip(components([print_of(t) for _, t in left]), left):
-        lowest[name] = min(lowest.get(name, (True, 1 << 62)), (doc is None, doc or 0))
     assert third.columns == docs.columns
-    assert Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in third.collect()) == Counter(lowest.values())
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in third.collect()) == kept_by_brute_force(left)
 
     fourth = mix_stage(spark, third, sf_dir).cache()
     mixed = mixing.mix(third).select("doc.doc_id", "doc.text", F.size("positions").alias("n")).collect()

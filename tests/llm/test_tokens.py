@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ramplake.llm import bpe, records
@@ -136,3 +137,12 @@ def test_records_round_trip(spark, messy, messy_rows, library):
     assert docs == sorted(docs, key=lambda d: (d is not None, d or 0))
     want = Counter((doc, zlib.crc32(np.array([*library.encode(text or "", add_special_tokens=False).ids, 70_000], "<u4").tobytes())) for doc, text, *_ in messy_rows)
     assert Counter((d, zlib.crc32(x.tobytes())) for d, x in zip(docs, ids)) == want
+
+
+def test_records_are_read_by_many_tasks(spark, messy, messy_rows, monkeypatch):
+    monkeypatch.setattr(records, "TASK_BYTES", 1 << 14)
+    monkeypatch.setattr(records, "STRIDE", 4)
+    folder = fresh_folder(spark, "records")
+    records.write_records(messy, folder, records.bpe_encoder(PATH), end_id=1)
+    read = records.read_records(spark, folder).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(read) > 4 and sum(r["count"] for r in read) == len(messy_rows)
