@@ -342,3 +342,35 @@ def _(spark, sf):
 def _(spark, sf):
     from ramplake.operators.detect import fit_scale
     return rounded(fit_scale(tg.chronological_split(base.series(spark, sf)), U))
+
+
+# the five unit series stand for the wind components and the heat flux of one site; temperature and pressure are made of them
+_FIELDS = {
+    "u10": "click", "v10": "view", "u100": "error", "v100": "purchase", "sshf": "signup"}
+
+
+@query("window_physics", SQL_SERIES + """,
+hourly AS (
+  SELECT b, u10, v10, u100, v100, 1234.567::DOUBLE * sshf AS sshf, u10 + v100 AS t2m, 1000 * v10 AS sp FROM (
+    SELECT b, """ + ", ".join(f"max(x) FILTER (WHERE unit = '{u}') AS {f}" for f, u in _FIELDS.items()) + """ FROM series GROUP BY b)),
+nodes AS (SELECT q, k, q + k AS place FROM (SELECT unnest(range(4 * (SELECT min(b) FROM hourly), 4 * (SELECT max(b) + 1 FROM hourly))) AS q), range(17) AS r(k)),
+placed AS (
+  SELECT q, k, """ + ", ".join(f"CASE WHEN place % 4 = 0 THEN l.{f} ELSE l.{f} * (1 - (place % 4) / 4.0::DOUBLE) + r.{f} * ((place % 4) / 4.0::DOUBLE) END AS {f}" for f in ("u10", "v10", "u100", "v100", "t2m", "sp")) + """
+  FROM nodes n LEFT JOIN hourly l ON l.b = n.place // 4 LEFT JOIN hourly r ON r.b = n.place // 4 + 1),
+flux AS (
+  SELECT q, CASE WHEN count(h.sshf) = 16 THEN avg(h.sshf) / 3600 END AS heat FROM nodes n LEFT JOIN hourly h ON h.b = n.place // 4 + 1 WHERE k < 16 GROUP BY q),
+whole AS (
+  SELECT q, k, CASE WHEN k IN (0, 16) THEN 0.5::DOUBLE ELSE 1 END AS w, sqrt(u100 ** 2 + v100 ** 2) AS speed, sqrt((u100 - u10) ** 2 + (v100 - v10) ** 2) AS shear, u100, v100, t2m, sp FROM placed),
+ends AS (SELECT a.q, z.speed - a.speed AS wind, sqrt((z.u100 - a.u100) ** 2 + (z.v100 - a.v100) ** 2) AS vector, z.t2m - a.t2m AS warm, (z.sp - a.sp) / 100 AS press
+  FROM whole a JOIN whole z ON a.q = z.q AND a.k = 0 AND z.k = 16),
+means AS (SELECT q, CASE WHEN count(shear) = 17 THEN sum(w * shear) / 16 END AS shear, CASE WHEN count(speed) = 17 THEN sum(w * speed) / 16 END AS speed FROM whole GROUP BY q)
+SELECT m.q, round(shear, 6) AS shear, round(heat, 6) AS heat, round(speed, 6) AS speed100, round(wind, 6) AS wind_delta, round(vector, 6) AS vector_delta,
+  round(warm, 6) AS temperature_delta, round(press, 6) AS pressure_delta_hpa FROM means m JOIN flux USING (q) JOIN ends USING (q)""")
+def _(spark, sf):
+    from ramplake.operators.physics import window_physics
+
+    fields = {f: F.max(F.when(F.col("unit") == u, F.col("x"))).alias(f) for f, u in _FIELDS.items()}
+    wide = base.series(spark, sf).groupBy("b").agg(*fields.values()).withColumn("site", F.lit("farm"))
+    hourly = wide.withColumns({"t2m": F.col("u10") + F.col("v100"), "sp": 1000 * F.col("v10"), "sshf": 1234.567 * F.col("sshf")})
+    starts = wide.select("site", F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: 4 * F.col("b") + k)).alias("q"))
+    return rounded(window_physics(hourly, starts, ["site"]).drop("site"))
