@@ -321,63 +321,19 @@ def gap_fill(series: DataFrame, keys: list[str], method: str = "linear", limit:
     return out.withColumn("gap_filled", F.col("x_raw").isNull() & F.col("x").isNotNull()).drop("p_b", "p_x", "n_b", "n_x")
 
 
-def smooth_level(y: np.ndarray, variance: float, first: float, q_level: float, q_trend: float, r: float) -> np.ndarray:
-    """Smoothed level of a local-linear-trend model (filter forward, smoother backward)."""
-    step = np.array([[1.0, 1.0], [0.0, 1.0]])
-    noise = np.diag([max(q_level * variance, 1e-8), max(q_trend * variance, 1e-8)])
-    meas = max(r * variance, 1e-8)
-    state, cov = np.array([first, 0.0]), np.eye(2) * (variance * 100.0 + 1.0)
-    n = len(y)
-    prior, prior_cov, post, post_cov = np.empty((n, 2)), np.empty((n, 2, 2)), np.empty((n, 2)), np.empty((n, 2, 2))
-    for i in range(n):
-        state, cov = step @ state, step @ cov @ step.T + noise
-        prior[i], prior_cov[i] = state, cov
-        if np.isfinite(y[i]):
-            gain = cov[:, 0] / (cov[0, 0] + meas)
-            state = state + gain * (y[i] - state[0])
-            cov = cov - np.outer(gain, cov[0])
-        post[i], post_cov[i] = state, cov
-    level = np.empty(n)
-    later = post[-1] if n else None
-    for i in range(n - 1, -1, -1):
-        if i < n - 1:
-            back = post_cov[i] @ step.T @ np.linalg.pinv(prior_cov[i + 1])
-            later = post[i] + back @ (later - prior[i + 1])
-        level[i] = later[0]
-    return level
-
-
-def kalman_fill(series: DataFrame, keys: list[str], limit: int = 2, q_level: float = 0.05, q_trend: float = 0.005, r: float = 0.1, halo: int = 512, size: int = 8192) -> DataFrame:
-    """Fill short bracketed gaps with the smoothed level.
-
-    The smoother forgets geometrically, so each chunk runs by itself with ``halo`` bins on both sides; the first
-    chunk starts from the declared initial state. Variance and first value are those of the whole series.
+def kalman_fill(series: DataFrame, keys: list[str], limit: int = 2, q_level: float = 0.05, q_trend: float = 0.005, r: float = 0.1, size: int = 8192) -> DataFrame:
+    """Fill bracketed gaps of at most ``limit`` bins with the smoothed level of a local-linear-trend model.
+
+    The level is that of the whole series, whatever the chunk size (see ``smoother``). A series without spread is
+    filled with its first value. Noise follows the variance of the whole series.
     """
-    from ramplake.operators.chunks import with_halo
+    from ramplake.operators.smoother import smoothed
 
     gaps = neighbours(series.select(*keys, "b", "x"), keys)
     fixed = series.groupBy(*keys).agg(F.var_pop("x").alias("_var"), F.min_by("x", F.when(F.col("x").isNotNull(), F.col("b"))).alias("_first"))
-    data = gaps.join(fixed, keys).withColumn("_fill", F.col("x").isNull() & (F.col("n_b") - F.col("p_b") - 1 <= limit))
-    data = with_halo(data.select(*keys, "b", "x", "_var", "_first", "_fill"), "b", halo, halo, size)
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("b")
-        y, variance = pdf["x"].to_numpy(dtype=float, na_value=np.nan), float(pdf["_var"].iloc[0] or 0.0)
-        need = pdf["_fill"].to_numpy(dtype=bool)
-        filled = y.copy()
-        if need.any():
-            seen = y[np.isfinite(y)]
-            start = float(pdf["_first"].iloc[0]) if not np.isfinite(variance) or variance <= 0 else float(seen[0])
-            level = np.full(len(y), start) if not variance > 0 else smooth_level(y, variance, start, q_level, q_trend, r)
-            filled[need] = level[need]
-        out = pdf[[*keys, "b"]].copy()
-        out["x_raw"], out["x"], out["_own"] = y, filled, pdf["_own"]
-        return out
-
-    schema = ", ".join(f"{k} {dict(series.dtypes)[k]}" for k in keys) + ", b long, x_raw double, x double, _own boolean"
-    out = data.groupBy(*keys, "_chunk").applyInPandas(fill, schema).filter("_own").drop("_own")
-    out = out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("x_raw", "x")})
-    return out.withColumn("gap_filled", F.col("x_raw").isNull() & F.col("x").isNotNull())
+    data = gaps.join(fixed, keys).withColumn("_fill", F.coalesce(F.col("x").isNull() & (F.col("n_b") - F.col("p_b") - 1 <= limit), F.lit(False)))
+    out = smoothed(data, keys, q_level, q_trend, r, size)
+    return out.select(*keys, "b", F.col("x").alias("x_raw"), F.when(F.col("_fill"), F.col("level")).otherwise(F.col("x")).alias("x"), (F.col("_fill") & F.col("level").isNotNull()).alias("gap_filled"))
 
 
 def stage_stats(df: DataFrame, us: str, unit: str) -> DataFrame:

@@ -9,7 +9,7 @@ from ramplake.operators import joins, models as md, timegrid as tg
 from ramplake.operators.chunks import cut_lineage
 from ramplake.operators.stations import ridge_apply
 from ramplake.plans import base
-from ramplake.plans.base import SQL_SCALED
+from ramplake.plans.base import SQL_SCALED, SQL_WIN
 from ramplake.plans.registry import load, query, rounded
 from ramplake.plans.scalar import shapes
 
@@ -56,6 +56,24 @@ def _(spark, sf):
     return md.tree_complexity(md.forest(_split(samples(spark, sf))[0], "y", **BUDGET))
 
 
+@query("forest_leaf_totals", SQL_WIN + """,
+h AS (SELECT b + 1 AS b FROM (SELECT b, count(x) OVER (ORDER BY b ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS c FROM farm) WHERE c = 16),
+kinds AS (SELECT unnest(range((SELECT max(y) FROM win JOIN h USING (b) WHERE split = 'train') + 1)) AS class),
+seen AS (SELECT y, count(*) AS n FROM win JOIN h USING (b) WHERE split = 'train' GROUP BY y)
+SELECT t.tree, k.class, coalesce(n, 0)::BIGINT AS rows FROM range(150) AS t(tree), kinds k LEFT JOIN seen ON y = k.class""")
+def _(spark, sf):
+    return md.leaf_totals(md.forest(_split(samples(spark, sf))[0], "y", **BUDGET))
+
+
+@query("trajectory_forest_heads")
+def _(spark, sf):
+    """Every horizon's change and the whole geometry at the published budget, a row for each window and node."""
+    train, rest = _split(samples(spark, sf))
+    out = md.trajectory_forest(train, rest, **BUDGET)
+    nodes = out.select("id", "anchor", F.posexplode(F.arrays_zip("forest", "delta")).alias("node", "v"))
+    return rounded(nodes.select("id", "node", F.col("v.forest").alias("change"), (F.col("anchor") + F.col("v.forest")).alias("level"), (F.col("v.forest") - F.col("v.delta")).alias("error")))
+
+
 @query("trajectory_regressors")
 def _(spark, sf):
     train, rest = _split(samples(spark, sf))

@@ -108,7 +108,26 @@ def _(spark, sf):
     return rounded(out.groupBy("b").agg(F.max(flag).alias("flag_any"), F.sum(flag).alias("filled_units")))
 
 
-@query("kalman_smooth_fill")
+@query("kalman_smooth_fill", SQL_SERIES.replace("WITH raw", "WITH RECURSIVE raw", 1) + """,
+placed AS (SELECT unit, b, x, max(CASE WHEN x IS NOT NULL THEN b END) OVER (PARTITION BY unit ORDER BY b) AS p, min(CASE WHEN x IS NOT NULL THEN b END) OVER (PARTITION BY unit ORDER BY b DESC) AS n FROM series),
+fixed AS (SELECT unit, var_pop(x) AS v, arg_min(x, b) FILTER (WHERE x IS NOT NULL) AS head, min(b) AS b0, max(b) AS b1 FROM series GROUP BY unit),
+forth AS (
+  SELECT unit, b0 - 1 AS b, b1, v, head AS l, 0.0::DOUBLE AS t, v * 100 + 1 AS c11, 0.0::DOUBLE AS c12, v * 100 + 1 AS c22 FROM fixed
+  UNION ALL
+  SELECT unit, b, b1, v, CASE WHEN x IS NULL THEN pl ELSE pl + p11 / s * (x - pl) END, CASE WHEN x IS NULL THEN t ELSE t + p12 / s * (x - pl) END,
+    CASE WHEN x IS NULL THEN p11 ELSE p11 - p11 / s * p11 END, CASE WHEN x IS NULL THEN p12 ELSE p12 - p11 / s * p12 END, CASE WHEN x IS NULL THEN p22 ELSE p22 - p12 / s * p12 END
+  FROM (
+    SELECT f.unit, f.b + 1 AS b, f.b1, f.v, r.x, f.l + f.t AS pl, f.t, f.c11 + 2 * f.c12 + f.c22 + 0.05::DOUBLE * f.v AS p11, f.c12 + f.c22 AS p12, f.c22 + 0.005::DOUBLE * f.v AS p22,
+      f.c11 + 2 * f.c12 + f.c22 + 0.05::DOUBLE * f.v + 0.1::DOUBLE * f.v AS s
+    FROM forth f JOIN series r ON r.unit = f.unit AND r.b = f.b + 1)),
+maps AS (
+  SELECT unit, b, b1, l, t, l + t AS al, ((c11 + c12) * p22 - c12 * p12) / det AS g11, (c12 * p11 - (c11 + c12) * p12) / det AS g12, ((c12 + c22) * p22 - c22 * p12) / det AS g21, (c22 * p11 - (c12 + c22) * p12) / det AS g22
+  FROM (SELECT *, p11 * p22 - p12 * p12 AS det FROM (SELECT *, c11 + 2 * c12 + c22 + 0.05::DOUBLE * v AS p11, c12 + c22 AS p12, c22 + 0.005::DOUBLE * v AS p22 FROM forth))),
+back AS (
+  SELECT unit, b, l AS sl, t AS st FROM maps WHERE b = b1
+  UNION ALL
+  SELECT m.unit, m.b, m.l + g11 * (k.sl - al) + g12 * (k.st - m.t), m.t + g21 * (k.sl - al) + g22 * (k.st - m.t) FROM back k JOIN maps m ON m.unit = k.unit AND m.b = k.b - 1)
+SELECT unit, b, round(x, 6) AS x_raw, round(CASE WHEN x IS NULL AND n - p - 1 <= 2 THEN sl ELSE x END, 6) AS x, coalesce(x IS NULL AND n - p - 1 <= 2, false) AS gap_filled FROM placed JOIN back USING (unit, b)""")
 def _(spark, sf):
     return rounded(tg.kalman_fill(base.series(spark, sf), U, 2))
 

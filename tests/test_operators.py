@@ -39,18 +39,47 @@ def test_gap_fill_runs(spark):
     assert list(kal["gap_filled"]) == [False, False, True, False, True, True, False, False, False, False, False, False]
 
 
-def test_kalman_chunks_agree_with_whole_series(spark):
+def smoothed_by_matrices(y, variance, first, q_level=0.05, q_trend=0.005, r=0.1):
+    """Level of the whole series: filter forward, smoother backward, in matrices."""
+    step, noise = np.array([[1.0, 1.0], [0.0, 1.0]]), np.diag([q_level * variance, q_trend * variance])
+    state, cov = np.array([first, 0.0]), np.eye(2) * (variance * 100 + 1)
+    priors, posts = [], []
+    for v in y:
+        state, cov = step @ state, step @ cov @ step.T + noise
+        priors.append((state, cov))
+        if np.isfinite(v):
+            gain = cov[:, 0] / (cov[0, 0] + r * variance)
+            state, cov = state + gain * (v - state[0]), cov - np.outer(gain, cov[0])
+        posts.append((state, cov))
+    later, out = posts[-1][0], [posts[-1][0][0]]
+    for (state, cov), (ahead, spread) in zip(posts[-2::-1], priors[:0:-1]):
+        later = state + cov @ step.T @ np.linalg.inv(spread) @ (later - ahead)
+        out.append(later[0])
+    return np.array(out[::-1])
+
+
+@pytest.mark.parametrize("size", [7, 400, 10**6])
+def test_kalman_is_exact_for_any_chunk_size(spark, size):
     rng = np.random.default_rng(2)
-    x = 5 + np.cumsum(rng.normal(0, 0.3, 3000))
-    x[rng.random(3000) < 0.05] = np.nan
-    df = spark.createDataFrame(pd.DataFrame({"unit": "u", "b": np.arange(3000), "x": x})).withColumn("x", F.nanvl("x", F.lit(None).cast("double")))
-    whole = tg.kalman_fill(df, ["unit"], 3, size=10**6).orderBy("b").toPandas()
-    cut = tg.kalman_fill(df, ["unit"], 3, size=400, halo=300).orderBy("b").toPandas()
-    np.testing.assert_allclose(whole["x"].astype(float), cut["x"].astype(float), atol=1e-6)
-    seen = x[np.isfinite(x)]
-    level = tg.smooth_level(x, float(np.nanvar(x)), float(seen[0]), 0.05, 0.005, 0.1)
-    filled = whole["gap_filled"].to_numpy()
-    np.testing.assert_allclose(whole["x"].to_numpy(dtype=float)[filled], level[filled], atol=1e-9)
+    n = 1200
+    frames, want = [], {}
+    for unit in "uv":
+        x = 5 + np.cumsum(rng.normal(0, 0.3, n))
+        x[rng.random(n) < 0.1] = np.nan
+        x[300:700] = np.nan  # chunks without any value
+        want[unit] = x, smoothed_by_matrices(x, float(np.nanvar(x)), float(x[np.isfinite(x)][0]))
+        frames.append(pd.DataFrame({"unit": unit, "b": np.arange(n) - 50, "x": x}))
+    flat = pd.DataFrame({"unit": "flat", "b": range(9), "x": [2.0, 2.0, np.nan, 2.0, np.nan, np.nan, 2.0, 2.0, 2.0]})
+    none = pd.DataFrame({"unit": "none", "b": range(3), "x": [np.nan] * 3})
+    df = spark.createDataFrame(pd.concat([*frames, flat, none])).withColumn("x", F.nanvl("x", F.lit(None).cast("double")))
+    got = tg.kalman_fill(df, ["unit"], 500, size=size).orderBy("unit", "b").toPandas()
+    for unit, (x, level) in want.items():
+        mine = got[got["unit"] == unit]
+        filled = mine["gap_filled"].to_numpy(bool)
+        inner = np.flatnonzero(np.isfinite(x))
+        assert filled.sum() == np.isnan(x[inner[0] : inner[-1]]).sum() > 400
+        np.testing.assert_allclose(mine["x"].to_numpy(float)[filled], level[filled], atol=1e-9)
+    assert got[got["unit"] == "flat"]["x"].tolist() == [2.0] * 9 and not got[got["unit"] == "none"]["gap_filled"].any()
 
 
 def test_power_curve_min_count_and_zero_mad(spark):
