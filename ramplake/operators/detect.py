@@ -1,10 +1,11 @@
 """Event detection and the event catalogue."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ramplake.config import Protocol
-from ramplake.operators.chunks import cut_lineage, running, windowed
+from ramplake.operators.chunks import CHUNK, cut_lineage, running, windowed, with_halo
+from ramplake.operators.sliding import add_trailing_quantiles
 
 
 def fit_scale(data: DataFrame, keys: list[str], capacity: float | None = None, x: str = "x") -> DataFrame:
@@ -68,16 +69,14 @@ def moving_hits(runs: DataFrame, keys: list[str], protocol: Protocol, methods: t
                 out[f"_s{m}"] = F.when(F.col("b") - (2 * lag - 1) >= F.col("run_start"), recent - former)
         return out
 
-    def tails(w):
-        if not history:
-            return {}
-        f = w.rangeBetween(-history, -1)
+    data = with_halo(runs, "b", history + 2 * top, 0, max(CHUNK, 8 * (history + 2 * top)))
+    data = data.withColumns(moves(W.partitionBy(*keys, "_chunk").orderBy("b")))
+    if history:
         q = protocol.tail_probability
-        return {f"_q{m}": F.when(
-            F.col("b") - history - lag >= F.col("run_start"), F.percentile(f"_m{m}", F.array(F.lit(q), F.lit(1 - q))).over(f)
-        ) for m, lag in lags.items()}
-
-    data = windowed(runs, keys, "b", history + 2 * top, 0, moves, tails)
+        data = add_trailing_quantiles(data, keys, "b", {f"_q{m}": f"_m{m}" for m in lags}, history, [q, 1 - q])
+        # a history may not reach into the run before
+        data = data.withColumns({f"_q{m}": F.when(F.col("b") - history - lag >= F.col("run_start"), F.col(f"_q{m}")) for m, lag in lags.items()})
+    data = data.filter("_own").drop("_chunk", "_own")
     found = []
     for m, lag in lags.items():
         move, shift = F.col(f"_m{m}"), f"_s{m}"

@@ -19,7 +19,7 @@ def spark(tmp_path_factory):
 @pytest.fixture
 def tiny_chunks(monkeypatch):
     """Chunks so small that every series crosses many of them."""
-    from ramplake.operators import chunks, folds, timegrid
+    from ramplake.operators import chunks, detect, folds, timegrid
 
-    for module in (chunks, folds, timegrid):
+    for module in (chunks, detect, folds, timegrid):
         monkeypatch.setattr(module, "CHUNK", 16)
