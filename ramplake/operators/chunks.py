@@ -8,6 +8,8 @@ the cluster:
   (the halo), the frame runs inside ``(keys, chunk)``, and only the owning chunk keeps its rows.
 * ``running`` evaluates *unbounded* running sums, extremes and last values. It scans inside each chunk and
   adds a carry taken from a table with one row per (keys, chunk).
+* ``equal_chunks`` cuts at equal counts instead of equal index widths, for series whose rows crowd: a busy day is then
+  many chunks, and a quiet year one.
 * ``exact_quantiles`` finds exact linear-interpolated quantiles. For large groups a sketch brackets the wanted
   ranks, one aggregate counts what lies below the bracket, and only the bracketed values are ranked.
 """
@@ -57,6 +59,17 @@ def windowed(
     return out.filter("_own").drop("_chunk", "_own")
 
 
+def equal_chunks(df: DataFrame, keys: list[str], idx: str) -> DataFrame:
+    """Adds ``_chunk``, the same for stretches of about equal numbers of rows in the order of (keys, idx).
+
+    The borders come from Spark's sample of that order, so a key or a day with most of the rows spreads over as many chunks
+    as its rows need; rows that share key and index stay together. The rows are written with their chunk, because another
+    run would draw other borders. Rows without an index are in no stretch and go.
+    """
+    placed = df.filter(F.col(idx).isNotNull()).repartitionByRange(*keys, idx)
+    return cut_lineage(placed.withColumn("_chunk", F.spark_partition_id().cast("long")))
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -67,15 +80,17 @@ def running(
     size: int | None = None,
     reverse: bool = False,
     strict: bool = False,
+    chunk: str | None = None,
 ) -> DataFrame:
     """Running ``sum``, ``max``, ``min`` or ``last`` (last non-null) along ``idx``.
 
     The current row is included unless ``strict``; ``reverse`` runs from the end. ``ties`` completes the
-    order of rows that share an index value; such rows stay in one chunk.
+    order of rows that share an index value; such rows stay in one chunk. Chunks are ``size`` index units wide, or given
+    by the column ``chunk`` (from ``equal_chunks``), which stays.
     """
     size = size or CHUNK
     values = {f"_v_{name}": column for name, (_, column) in specs.items()}
-    data = df.withColumns({"_chunk": _slot(F.col(idx), size), **values})
+    data = df.withColumns({"_chunk": F.col(chunk) if chunk else _slot(F.col(idx), size), **values})
     order = [F.col(c).desc() if reverse else F.col(c).asc() for c in (idx, *ties)]
     chunk_order = F.col("_chunk").desc() if reverse else F.col("_chunk").asc()
     local = W.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if strict else 0)

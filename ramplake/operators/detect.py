@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ramplake.config import Protocol
-from ramplake.operators.chunks import CHUNK, cut_lineage, running, windowed, with_halo
+from ramplake.operators.chunks import CHUNK, cut_lineage, equal_chunks, running, windowed, with_halo
 from ramplake.operators.sliding import add_trailing_quantiles
 
 
@@ -26,12 +26,11 @@ def farm_aggregate(data: DataFrame, unit: str, min_fraction: float = 0.8, keys:
     return out.withColumn("x", F.when(F.col("units") >= F.ceil(min_fraction * total), F.col("_m"))).drop("_m")
 
 
-def gap_sessions(df: DataFrame, keys: list[str], us: str, gap_us: int, chunk_us: int | None = None) -> DataFrame:
+def gap_sessions(df: DataFrame, keys: list[str], us: str, gap_us: int) -> DataFrame:
     """Group rows whose distance to the previous row is at most ``gap_us``; start, end and count per group."""
-    size = chunk_us or max(86_400_000_000, 4 * gap_us)
-    out = running(df, keys, us, {"_prev": ("last", F.col(us))}, size=size, strict=True)
+    out = running(equal_chunks(df, keys, us), keys, us, {"_prev": ("last", F.col(us))}, chunk="_chunk", strict=True)
     fresh = F.when(F.col("_prev").isNull() | (F.col(us) - F.col("_prev") > gap_us), F.col(us))
-    out = running(out, keys, us, {"session": ("last", fresh)}, size=size)
+    out = running(out, keys, us, {"session": ("last", fresh)}, chunk="_chunk")
     return out.groupBy(*keys, "session").agg(F.min(us).alias("start"), F.max(us).alias("end"), F.count("*").alias("n")).drop("session")
 
 
@@ -260,19 +259,19 @@ def catalog_audit(series: DataFrame, catalog: DataFrame, keys: list[str]) -> Dat
 
 def event_supports(anchors: DataFrame, keys: list[str], us: str, method: str, gap_us: int, pad_us: int) -> DataFrame:
     """Anchors closer than the gap form one support, padded on both sides, with its distinct methods."""
-    size = max(86_400_000_000, 4 * gap_us)
     points = anchors.groupBy(*keys, us).agg(F.collect_set(method).alias("_m"), F.count("*").alias("_n"))
-    out = running(points, keys, us, {"_prev": ("last", F.col(us))}, size=size, strict=True)
+    out = running(equal_chunks(points, keys, us), keys, us, {"_prev": ("last", F.col(us))}, chunk="_chunk", strict=True)
     fresh = F.when(F.col("_prev").isNull() | (F.col(us) - F.col("_prev") > gap_us), F.col(us))
-    out = running(out, keys, us, {"_s": ("last", fresh)}, size=size)
+    out = running(out, keys, us, {"_s": ("last", fresh)}, chunk="_chunk")
     names = out.select(*keys, "_s", F.explode("_m").alias("_m")).groupBy(*keys, "_s").agg(F.array_join(F.sort_array(F.collect_set("_m")), ";").alias("methods"))
     spans = out.groupBy(*keys, "_s").agg((F.min(us) - pad_us).alias("start"), (F.max(us) + pad_us).alias("end"), F.sum("_n").alias("anchor_count"))
     return spans.join(names, [*keys, "_s"]).drop("_s")
 
 
-def support_components(intervals: DataFrame, keys: list[str], size: int) -> DataFrame:
+def support_components(intervals: DataFrame, keys: list[str]) -> DataFrame:
     """Number of disjoint unions of intervals per key; touching intervals join."""
-    out = running(intervals, keys, "start", {"_reach": ("max", F.col("end"))}, ties=("end",), size=size, strict=True)
+    placed = equal_chunks(intervals, keys, "start")
+    out = running(placed, keys, "start", {"_reach": ("max", F.col("end"))}, ties=("end",), chunk="_chunk", strict=True)
     return out.groupBy(*keys).agg(F.count_if(F.col("_reach").isNull() | (F.col("start") > F.col("_reach"))).alias("components"))
 
 

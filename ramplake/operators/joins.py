@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ramplake.config import DAY_US, MATURITY_MINUTES, MINUTE_US
 from ramplake.functions import geo, paths
-from ramplake.operators.chunks import cut_lineage, running
+from ramplake.operators.chunks import cut_lineage, equal_chunks, running
 
 MAX_CLASS = 62
 
@@ -37,17 +37,17 @@ def feature_join(left: DataFrame, feature: DataFrame, on: list[str], value: str,
     }).drop("_f")
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], us: str, value: str, tolerance_us: int, chunk_us: int = DAY_US) -> DataFrame:
+def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], us: str, value: str, tolerance_us: int) -> DataFrame:
     """Value of the nearest right row in time within the tolerance, the earlier one on ties.
 
     Both sides are stacked and scanned once in each direction, so no pair of rows is ever formed.
     """
     tagged = left.withColumns({"_side": F.lit(1), "_item": F.lit(None).cast(f"struct<t:bigint,v:{dict(right.dtypes)[value]}>")})
     source = right.select(*keys, us, F.lit(0).alias("_side"), F.struct(F.col(us).alias("t"), F.col(value).alias("v")).alias("_item"))
-    both = tagged.unionByName(source, allowMissingColumns=True)
-    out = running(both, keys, us, {"_before": ("last", F.col("_item"))}, ties=("_side",), size=chunk_us)
+    both = equal_chunks(tagged.unionByName(source, allowMissingColumns=True), keys, us)
+    out = running(both, keys, us, {"_before": ("last", F.col("_item"))}, ties=("_side",), chunk="_chunk")
     out = out.withColumn("_side", 1 - F.col("_side"))
-    out = running(out, keys, us, {"_after": ("last", F.col("_item"))}, ties=("_side",), size=chunk_us, reverse=True).filter("_side = 0")
+    out = running(out, keys, us, {"_after": ("last", F.col("_item"))}, ties=("_side",), chunk="_chunk", reverse=True).filter("_side = 0")
     back, ahead = F.col(us) - F.col("_before.t"), F.col("_after.t") - F.col(us)
     use_before = F.coalesce(back <= ahead, back.isNotNull())
     picked = F.when(use_before, F.col("_before")).otherwise(F.col("_after"))
@@ -82,14 +82,14 @@ def interpolate_hourly(nodes: DataFrame, hourly: DataFrame, keys: list[str], us:
     return out.select(*nodes.columns, *[value(c).alias(c) for c in columns])
 
 
-def interpolate_irregular(nodes: DataFrame, source: DataFrame, keys: list[str], us: str, value: str, outside: str = "null", chunk_us: int = DAY_US) -> DataFrame:
+def interpolate_irregular(nodes: DataFrame, source: DataFrame, keys: list[str], us: str, value: str, outside: str = "null") -> DataFrame:
     """Linear interpolation in an irregular source through the bracketing samples."""
     tagged = nodes.withColumns({"_side": F.lit(1), "_item": F.lit(None).cast("struct<t:bigint,v:double>")})
     samples = source.select(*keys, us, F.lit(0).alias("_side"), F.struct(F.col(us).alias("t"), F.col(value).cast("double").alias("v")).alias("_item"))
-    both = tagged.unionByName(samples, allowMissingColumns=True)
-    out = running(both, keys, us, {"_p": ("last", F.col("_item"))}, ties=("_side",), size=chunk_us)
+    both = equal_chunks(tagged.unionByName(samples, allowMissingColumns=True), keys, us)
+    out = running(both, keys, us, {"_p": ("last", F.col("_item"))}, ties=("_side",), chunk="_chunk")
     out = out.withColumn("_side", 1 - F.col("_side"))
-    out = running(out, keys, us, {"_n": ("last", F.col("_item"))}, ties=("_side",), size=chunk_us, reverse=True).filter("_side = 0")
+    out = running(out, keys, us, {"_n": ("last", F.col("_item"))}, ties=("_side",), chunk="_chunk", reverse=True).filter("_side = 0")
     p, n = F.col("_p"), F.col("_n")
     line = F.when(p["t"] == n["t"], p["v"]).otherwise(p["v"] + (n["v"] - p["v"]) * (F.col(us) - p["t"]) / (n["t"] - p["t"]))
     if outside == "clamp":

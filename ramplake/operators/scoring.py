@@ -99,12 +99,13 @@ def reliability(df: DataFrame, keys: list[str], p: str, y: str, bins: int = 10)
     return out.withColumn("abs_gap", F.abs(F.col("mean_pred") - F.col("obs_rate")))
 
 
-def auroc(df: DataFrame, keys: list[str], y: str, score: str, cell: float = 1 / 64) -> DataFrame:
+def auroc(df: DataFrame, keys: list[str], y: str, score: str) -> DataFrame:
     """Area under the ROC curve with half weight for ties, from counts per distinct score."""
-    from ramplake.operators.chunks import running
+    from ramplake.operators.chunks import equal_chunks, running
 
     counts = df.groupBy(*keys, F.col(score).alias("_s")).agg(F.count_if(F.col(y) == 1).alias("_p"), F.count_if(F.col(y) == 0).alias("_n"))
-    ranked = running(counts, keys, "_s", {"_below": ("sum", F.col("_n"))}, size=cell, strict=True)
+    counts = equal_chunks(counts, keys, "_s")
+    ranked = running(counts, keys, "_s", {"_below": ("sum", F.col("_n"))}, chunk="_chunk", strict=True)
     out = ranked.groupBy(*keys).agg(
         F.sum(F.col("_p") * (F.col("_below") + 0.5 * F.col("_n"))).alias("_u"), F.sum("_p").alias("positives"), F.sum("_n").alias("negatives"))
     return out.withColumn("auroc", F.try_divide(F.col("_u"), F.col("positives") * F.col("negatives"))).drop("_u")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ramplake.config import DAY_US, MINUTE_US, PATH_NODES
-from ramplake.operators.chunks import CHUNK, exact_quantiles, running, windowed
+from ramplake.operators.chunks import CHUNK, equal_chunks, exact_quantiles, running, windowed
 
 
 def bin_of(us: str | Column, minutes: int, closed: str = "left") -> Column:
@@ -338,8 +338,8 @@ def kalman_fill(series: DataFrame, keys: list[str], limit: int = 2, q_level: flo
 
 def stage_stats(df: DataFrame, us: str, unit: str) -> DataFrame:
     """Rows, timestamps, units, span, cadence (median step in minutes), largest gap and its warning."""
-    day = DAY_US
-    steps = running(df.select(us).distinct(), [], us, {"_prev": ("last", F.col(us))}, size=day, strict=True)
+    times = equal_chunks(df.select(us).distinct(), [], us)
+    steps = running(times, [], us, {"_prev": ("last", F.col(us))}, chunk="_chunk", strict=True)
     steps = steps.withColumn("step", (F.col(us) - F.col("_prev")) / MINUTE_US)
     cadence = exact_quantiles(steps, [], "step", {"cadence_minutes": 0.5}).select("cadence_minutes").scalar()
     gap = steps.agg(F.max("step")).scalar()

@@ -190,7 +190,7 @@ SELECT unit, count(*) FILTER (WHERE reach IS NULL OR start > reach) AS component
 def _(spark, sf):
     all3 = sessions(spark, sf, 2).unionByName(sessions(spark, sf, 4)).unionByName(sessions(spark, sf, 8))
     padded = all3.select("unit", (F.col("start") - 3600000000).alias("start"), (F.col("end") + 3600000000).alias("end"))
-    return dt.support_components(padded, U, DAY_US)
+    return dt.support_components(padded, U)
 
 
 @query("lifecycle_vectors", SQL_MOVES + """,

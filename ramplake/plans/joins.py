@@ -69,12 +69,12 @@ def _(spark, sf):
     return joins.common_events(left, [_stream(spark, sf, "view"), _stream(spark, sf, "error")], ["k"], "us", 7200000000).select("event_id")
 
 
-@query("hourly_interpolation_join", SQL_SERIES + """, nd AS (SELECT unit, b, q, b * 3600000000 + q * 900000000::BIGINT AS us FROM series, (VALUES (0), (1), (2), (3)) t(q) WHERE unit <> 'signup')
+@query("hourly_interpolation_join", SQL_SERIES + """, nd AS (SELECT unit, b, q, b * 3600000000 + q * 900000000::BIGINT AS us FROM series, (VALUES (0), (1), (2), (3)) t(q))
 SELECT nd.unit, us, round(CASE WHEN q = 0 THEN a.x ELSE a.x * (1 - q / 4.0::DOUBLE) + z.x * (q / 4.0::DOUBLE) END, 6) AS x FROM nd LEFT JOIN series a ON a.unit = nd.unit AND a.b = nd.b LEFT JOIN series z ON z.unit = nd.unit AND z.b = nd.b + 1""")
 def _(spark, sf):
     hourly = base.series(spark, sf).select("unit", tg.bin_label("b", 60).alias("us"), "x")
     quarter = F.explode(F.array(*[F.lit(q) for q in range(4)])).alias("q")
-    nodes = hourly.filter("unit <> 'signup'").select("unit", "us", quarter).select("unit", (F.col("us") + F.col("q").cast("long") * 900000000).alias("us"))
+    nodes = hourly.select("unit", "us", quarter).select("unit", (F.col("us") + F.col("q").cast("long") * 900000000).alias("us"))
     return rounded(joins.interpolate_hourly(nodes, hourly, ["unit"], "us", ["x"]))
 
 

@@ -179,7 +179,7 @@ SELECT sum(p)::BIGINT AS positives, sum(n)::BIGINT AS negatives, round(sum(p * (
 @query("auroc_ties", _AUC)
 def _(spark, sf):
     d = load(spark, sf, "documents").join(load(spark, sf, "labels"), "doc_id").select(F.col("n_chars").cast("double").alias("s"), F.col("quality").alias("y"))
-    return rounded(scoring.auroc(d, [], "y", "s", 1024.0))
+    return rounded(scoring.auroc(d, [], "y", "s"))
 
 
 @query("skill_vs_reference", SQL_LOSS + """
@@ -222,7 +222,7 @@ def _(spark, sf):
 
 
 # ---- block bootstrap: blocks of three days over all windows, 500 draws
-DRAWS, DAYS = 500, 3
+DRAWS, DAYS = 2000, 3
 _SLOT = "(('0x' || substr(md5(concat_ws('-', '41', draw::VARCHAR, slot::VARCHAR)), 1, 8))::BIGINT)"
 
 
@@ -422,9 +422,9 @@ def _(spark, sf):
 _ORIG = """WITH df AS (SELECT epoch_us(l_shipdate) // 2592000000000 AS block, l_linenumber::BIGINT AS lead, avg(abs(l_tax) - abs(l_discount)) AS d FROM lineitem GROUP BY 1, 2)"""
 
 
-@query("origin_bootstrap", _ORIG + _weights_sql("df", "block").replace(f"range({DRAWS})", "range(200)") + """,
+@query("origin_bootstrap", _ORIG + _weights_sql("df", "block") + """,
 sm AS (SELECT lead, pos, sum(d) AS s, count(d) AS n FROM df JOIN blocks USING (block) GROUP BY 1, 2), dr AS (SELECT lead, draw, sum(w * s) / sum(w * n) AS v FROM sm JOIN wt USING (pos) GROUP BY 1, 2), pt AS (SELECT lead, avg(d) AS e FROM df GROUP BY 1)
 SELECT lead, round(any_value(e), 7) AS estimate, round(quantile_cont(v, 0.003571428571428571), 7) AS low, round(quantile_cont(v, 0.9964285714285714), 7) AS high, count(v) AS valid_draws FROM dr JOIN pt USING (lead) GROUP BY lead""")
 def _(spark, sf):
     d = load(spark, sf, "lineitem").groupBy(F.floor(F.unix_micros("l_shipdate") / 2592000000000).alias("origin"), F.col("l_linenumber").cast("long").alias("lead")).agg(F.avg(F.abs("l_tax") - F.abs("l_discount")).alias("d"))
-    return rounded(bs.origin_bootstrap(cut_lineage(d), ["lead"], "origin", "d", 200, 0.05 / 7), 7)
+    return rounded(bs.origin_bootstrap(cut_lineage(d), ["lead"], "origin", "d", DRAWS, 0.05 / 7), 7)

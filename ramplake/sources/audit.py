@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ramplake.sources.files import digests, listed
+
 # Path parts and text that must not be published, and the text suffixes that are scanned.
 FORBIDDEN_PARTS = ("raw", "private", "scada", "turbine", "coordinates", "operational_status", "whereTurbins.csv")
 FORBIDDEN_TEXT = r"(?i)(api[_ -]?key|authorization:|bearer\s+[A-Za-z0-9._-]{12,})"
@@ -11,9 +13,9 @@ TEXT_SUFFIXES = (".md", ".json", ".txt", ".yml", ".yaml", ".cff")
 
 
 def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """name, bytes, sha256 of every file under a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """name, bytes, sha256 of every file under a folder; a file is read once, as a stream."""
+    found = digests(listed(spark, path, pattern))
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), "sha256")
 
 
 def verify_digests(found: DataFrame, manifest: DataFrame) -> DataFrame:

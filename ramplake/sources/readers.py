@@ -5,7 +5,9 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
 from ramplake.functions.clip import at_least
+from ramplake.sources.files import headers, listed
 
 # Header words that name the identifier, time, wind and power columns of raw files.
 ID_WORDS = ("名称", "机组", "turbine", "id", "machine_num", "machine", "pow_fan_id", "fan_id")
@@ -16,17 +18,22 @@ POWER_WORDS = ("有功", "功率", "power", "active")
 TRUE_WORDS, FALSE_WORDS = ("true", "1", "yes"), ("false", "0", "no")
 
 
+class MissingOverride(ValueError):
+    """A column that was named for a role is not in the table."""
+
+
 def resolve_columns(columns: list[str], wanted: dict[str, tuple[str, ...]], overrides: dict[str, str] | None = None) -> dict[str, str]:
-    """Column per role: an override must exist, otherwise the first header that contains one of the words."""
-    found = {}
-    for role, words in wanted.items():
-        name = (overrides or {}).get(role)
-        if name and name not in columns:
-            raise ValueError(f"column {name} not found")
-        name = name or next((c for c in columns if any(w in c.strip().lower() for w in words)), None)
-        if name is None:
-            raise ValueError(f"no column for {role}")
-        found[role] = name
+    """Column per role: the one named for it, otherwise the first header that contains one of the words. A role without a
+    column is a ValueError, then a named column that is not there a MissingOverride."""
+    overrides = overrides or {}
+    word = lambda role: next((c for c in columns if any(w in c.strip().lower() for w in wanted[role])), None)
+    found = {role: overrides.get(role) or word(role) for role in wanted}
+    without = [role for role, name in found.items() if name is None]
+    if without:
+        raise ValueError(f"no column for {', '.join(without)}")
+    absent = [name for name in found.values() if name not in columns]
+    if absent:
+        raise MissingOverride(f"column {', '.join(absent)} not found")
     return found
 
 
@@ -59,31 +66,34 @@ def in_range(out: DataFrame, *, wind: tuple[float, float], power_min: float, pow
     return out
 
 
-def files_by_header(spark: SparkSession, paths: str | list[str], pattern: str, encoding: str, recursive: bool) -> dict[str, list[str]]:
-    """Files under each header line. Only file names and distinct headers come to the driver."""
-    lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).option("encoding", encoding).text(paths)
-    first = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
-    heads = first.filter("block = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+def files_by_header(spark: SparkSession, paths: str | list[str], pattern: str, encoding: str, recursive: bool, exclude: tuple[str, ...] = ()) -> dict[str, list[str]]:
+    """Files under each header line, without those of an empty one and those of an excluded name. Only file names and headers come to
+    the driver; of a file only its first block is read."""
+    files = listed(spark, paths, pattern, recursive)
+    if exclude:
+        files = files.filter(~F.element_at(F.split("path", "/"), -1).isin(*exclude))
     out: dict[str, list[str]] = {}
-    for r in heads.orderBy("file").collect():
-        out.setdefault(r["header"], []).append(r["file"])
+    for r in headers(files, encoding).filter("header IS NOT NULL").orderBy("path").select("path", "header").collect():
+        out.setdefault(r["header"], []).append(r["path"])
     return out
 
 
 def read_scada_csv(
     spark: SparkSession, paths: str | list[str], *, pattern: str = "*.csv", encoding: str = "UTF-8", recursive: bool = False, overrides: dict[str, str] | None = None,
-    wind: tuple[float, float] = (0.0, 50.0), power_min: float = 0.0, power_max: float = 0.0, start: str = "", end: str = "", id_prefix: str = "",
+    wind: tuple[float, float] = (0.0, 50.0), power_min: float = 0.0, power_max: float = 0.0, start: str = "", end: str = "", id_prefix: str = "", exclude: tuple[str, ...] = (),
 ) -> DataFrame:
     """Minute CSVs with keyword-resolved columns, de-duplicated on (unit, time) keeping the first by file and position.
 
-    Columns are resolved for each header that occurs; files without the needed columns are left out, and it is an error
-    if no file has them. Encoded ids are mapped per file, before rows out of range go.
+    Columns are resolved for each header that occurs; files without the needed columns and files of the names in `exclude`
+    are left out. It is an error if no file has the columns, or if one lacks a column that `overrides` names. Encoded ids are mapped per file, before rows out of range go.
     """
     parts, missing = [], None
-    for _, files in sorted(files_by_header(spark, paths, pattern, encoding, recursive).items()):
+    for _, files in sorted(files_by_header(spark, paths, pattern, encoding, recursive, exclude).items()):
         raw = spark.read.option("header", True).option("encoding", encoding).csv(files)
         try:
             names = resolve_columns(raw.columns, {"id": ID_WORDS, "time": TIME_WORDS, "wind": WIND_WORDS, "power": POWER_WORDS}, overrides)
+        except MissingOverride:
+            raise
         except ValueError as error:
             missing = error
             continue

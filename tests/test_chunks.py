@@ -3,7 +3,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ramplake.operators.chunks import exact_quantiles, running, windowed
+from ramplake.operators.chunks import equal_chunks, exact_quantiles, running, windowed
+from ramplake.operators.joins import asof_nearest
 
 
 @pytest.fixture(scope="module")
@@ -43,3 +44,45 @@ def test_exact_quantiles(spark, accuracy):
     for k, g in pdf.groupby("k"):
         for n, p in probs.items():
             assert out.loc[k, n] == pytest.approx(np.quantile(g["x"], p), abs=1e-9), (k, n)
+
+
+@pytest.fixture
+def many_chunks(spark):
+    """Small tables are not merged into one partition."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def crowded(seed, n, day=86_400_000_000):
+    """One key has nine rows in ten, all of them in one day."""
+    rng = np.random.default_rng(seed)
+    hot = pd.DataFrame({"k": "hot", "t": rng.choice(day // 1000, n * 9 // 10, replace=False) * 1000 + 5 * day})
+    rest = pd.DataFrame({"k": rng.choice(["a", "b"], n // 10), "t": rng.choice(400, n // 10) * day})
+    return pd.concat([hot, rest.drop_duplicates()]).assign(v=lambda f: np.arange(len(f), dtype=float))
+
+
+def test_a_busy_day_of_one_key_is_many_chunks(spark, many_chunks):
+    rows = crowded(1, 8000)
+    placed = equal_chunks(spark.createDataFrame(rows), ["k"], "t")
+    sizes = [r["count"] for r in placed.groupBy("_chunk").count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 3 * len(rows) / 16 and sum(sizes) == len(rows)
+    out = running(placed, ["k"], "t", {"s": ("sum", F.col("v")), "l": ("last", F.col("t"))}, chunk="_chunk", strict=True).toPandas().sort_values(["k", "t"])
+    ref = rows.sort_values(["k", "t"])
+    np.testing.assert_allclose(out["s"], ref.groupby("k")["v"].cumsum() - ref["v"])
+    before = ref.groupby("k")["t"].shift()
+    assert (out["l"].isna().to_numpy() == before.isna().to_numpy()).all() and np.array_equal(out["l"].dropna().astype("int64"), before.dropna().astype("int64"))
+
+
+def test_asof_of_crowded_sides_equals_pandas(spark, many_chunks):
+    left, right = crowded(2, 4000).drop(columns="v"), crowded(3, 3000)
+    got = asof_nearest(spark.createDataFrame(left), spark.createDataFrame(right), ["k"], "t", "v", 50_000_000).toPandas().sort_values(["k", "t"]).reset_index(drop=True)
+    want = []
+    for k, t in left.sort_values(["k", "t"]).itertuples(index=False):
+        times = np.sort(right.loc[right["k"] == k, "t"].to_numpy())
+        at = np.searchsorted(times, t)
+        near = [x for x in times[max(0, at - 1) : at + 1] if abs(x - t) <= 50_000_000]
+        want.append(min(near, key=lambda x: (abs(x - t), x)) if near else None)
+    assert [None if np.isnan(x) else int(x) for x in got["match_us"].astype(float)] == want
