@@ -7,9 +7,12 @@ digest picks the block of a slot, so all arms, leads and comparators share them
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ramplake.config import DAY_US
+from ramplake.operators.chunks import equal_chunks
 
 
 def block_id(us: Column, days: int) -> Column:
@@ -109,31 +112,72 @@ def simultaneous_band(point: DataFrame, draws: DataFrame, family: list[str], est
     return out.withColumns({"low": F.col(estimate) - F.col("critical") * F.col("sd"), "high": F.col(estimate) + F.col("critical") * F.col("sd")})
 
 
-def auc_kernel(rows: DataFrame, keys: list[str], y: str, score: str, positions: DataFrame, cell: float = 1 / 64) -> DataFrame:
-    """Concordance of positives of block ``bp`` with negatives of block ``bn``, from counts per distinct score."""
-    from ramplake.operators.chunks import running
+#: Draws that one task weighs at once.
+DRAWS_AT_ONCE = 64
 
-    located = rows.join(positions, "block")
-    counts = located.groupBy(*keys, F.col(score).alias("_s"), "pos").agg(F.count_if(F.col(y) == 1).alias("_p"), F.count_if(F.col(y) == 0).alias("_n"))
-    scores = counts.filter("_p > 0").groupBy(*keys, "_s").agg(F.sum("_p").alias("_any"))
-    listed = positions.agg(F.sort_array(F.collect_list("pos"))).scalar()
-    targets = scores.select(*keys, "_s", F.explode(listed).alias("bn"))
-    negatives = counts.filter("_n > 0").select(*keys, "_s", F.col("pos").alias("bn"), "_n")
-    both = targets.join(negatives, [*keys, "_s", "bn"], "full").fillna(0, ["_n"])
-    below = running(both, [*keys, "bn"], "_s", {"_below": ("sum", F.col("_n"))}, size=cell, strict=True)
-    below = below.withColumn("_c", F.col("_below") + 0.5 * F.col("_n"))
-    positives = counts.filter("_p > 0").select(*keys, "_s", F.col("pos").alias("bp"), "_p")
-    return positives.join(below.select(*keys, "_s", "bn", "_c"), [*keys, "_s"]).groupBy(*keys, "bp", "bn").agg(F.sum(F.col("_p") * F.col("_c")).alias("kernel"))
+
+def concordance(score: np.ndarray, weight: np.ndarray, positives: np.ndarray, negatives: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per draw (columns of `weight`, a row for each row): weighted positives, weighted negatives and the weighted number of
+    pairs of a positive above a negative, ties by half. Rows ascend by score."""
+    starts = np.flatnonzero(np.diff(score, prepend=np.nan) != 0)
+    found = []
+    for k in range(0, weight.shape[1], DRAWS_AT_ONCE):
+        w = weight[:, k : k + DRAWS_AT_ONCE]
+        p, n = (np.add.reduceat(w * c[:, None], starts, axis=0) for c in (positives, negatives))
+        found.append((p.sum(0), n.sum(0), (p * (np.cumsum(n, axis=0) - 0.5 * n)).sum(0)))
+    return tuple(np.concatenate(part) for part in zip(*found))
 
 
 def auc_draws(rows: DataFrame, keys: list[str], y: str, score: str, weights: DataFrame, positions: DataFrame) -> DataFrame:
-    """Weighted AUROC per draw."""
-    kernel = auc_kernel(rows, keys, y, score, positions)
-    wp, wn = weights.select("draw", F.col("pos").alias("bp"), F.col("w").alias("_wp")), weights.select("draw", F.col("pos").alias("bn"), F.col("w").alias("_wn"))
-    top = kernel.join(wp, "bp").join(wn, ["draw", "bn"]).groupBy(*keys, "draw").agg(F.sum(F.col("kernel") * F.col("_wp") * F.col("_wn")).alias("_u"))
-    totals = rows.join(positions, "block").groupBy(*keys, "pos").agg(F.count_if(F.col(y) == 1).alias("_p"), F.count_if(F.col(y) == 0).alias("_n"))
-    sides = totals.join(weights, "pos").groupBy(*keys, "draw").agg(F.sum(F.col("_p") * F.col("w")).alias("_p"), F.sum(F.col("_n") * F.col("w")).alias("_n"))
-    return sides.join(top, [*keys, "draw"], "left").withColumn("value", F.try_divide(F.coalesce("_u", F.lit(0.0)), F.col("_p") * F.col("_n"))).select(*keys, "draw", "value")
+    """Weighted AUROC per draw, null where a side has no weight. Rows without a score count for nothing.
+
+    Counts per distinct score and block are cut into score ranges of equal counts. A range takes the weights of its blocks,
+    an array a block, and gives three numbers a draw; ranges are added in order, each against the negatives below it. The
+    work is rows x draws, whatever the number of blocks or distinct scores.
+    """
+    kinds = dict(rows.dtypes)
+    draws = int(weights.agg(F.coalesce(F.max("draw"), F.lit(-1))).first()[0]) + 1
+    located = rows.join(positions, "block")
+    counts = located.groupBy(*keys, F.col(score).cast("double").alias("_s"), "pos").agg(F.count_if(F.col(y) == 1).alias("_p"), F.count_if(F.col(y) == 0).alias("_n"))
+    ranges = equal_chunks(counts.filter(~F.isnan("_s")), keys, "_s")
+    arrays = weights.groupBy("pos").agg(F.collect_list(F.struct("draw", "w")).alias("_w"))
+    # under names of its own: both sides of the cogroup come from one table
+    group, names = [*keys, "_chunk"], [f"_g{k}" for k in range(len(keys) + 1)]
+    used = ranges.select(*(F.col(c).alias(name) for c, name in zip(group, names)), F.col("pos").alias("_pos")).distinct()
+    used = used.join(arrays.withColumnRenamed("pos", "_pos"), "_pos")
+    at = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    at = f"{at}, " if keys else ""
+
+    def weigh(part: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return pd.DataFrame(columns=[*keys, "_chunk", "p", "n", "u"])
+        part = part.sort_values("_s")
+        table = np.zeros((len(blocks) + 1, draws))  # the last row is that of blocks never drawn
+        place = {pos: k for k, pos in enumerate(blocks["_pos"])}
+        for k, drawn in enumerate(blocks["_w"]):
+            for d in drawn:
+                table[k, d["draw"]] = d["w"]
+        of = np.array([place.get(pos, len(blocks)) for pos in part["pos"]])
+        found = [np.zeros(draws) for _ in range(3)]
+        for k in range(0, draws, DRAWS_AT_ONCE):
+            span = slice(k, k + DRAWS_AT_ONCE)
+            for whole, piece in zip(found, concordance(part["_s"].to_numpy(), table[of, span], part["_p"].to_numpy(), part["_n"].to_numpy())):
+                whole[span] = piece
+        return pd.DataFrame([[*(part[c].iloc[0] for c in (*keys, "_chunk")), *(v.tolist() for v in found)]], columns=[*keys, "_chunk", "p", "n", "u"])
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        """One row a range: positives above all negatives of lower ranges."""
+        part = part.sort_values("_chunk")
+        p, n, u = (np.array(part[c].tolist()) for c in "pnu")
+        total, pairs = (u + p * (np.cumsum(n, axis=0) - n)).sum(0), p.sum(0) * n.sum(0)
+        value = np.divide(total, pairs, out=np.full(draws, np.nan), where=pairs > 0)
+        out = pd.DataFrame({"draw": np.arange(draws), "value": value})
+        for k in keys:
+            out[k] = part[k].iloc[0]
+        return out[[*keys, "draw", "value"]]
+
+    sums = ranges.groupBy(*group).cogroup(used.groupBy(*names)).applyInPandas(weigh, f"{at}_chunk long, p array<double>, n array<double>, u array<double>")
+    return sums.groupBy(*keys).applyInPandas(add, f"{at}draw long, value double").withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
 
 
 def global_equal_weight(draws: DataFrame, keys: list[str], lead: str, value: str, leads: int) -> DataFrame:

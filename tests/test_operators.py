@@ -123,7 +123,19 @@ def test_identical_arms_give_zero(spark):
     assert (out.reduction_pct, out.low, out.high, out.valid_draws) == (0.0, 0.0, 0.0, 200)
 
 
-def test_auc_draws_match_weighted_definition(spark):
+@pytest.mark.parametrize("partitions", ["4", "16"])
+def test_auc_draws_match_weighted_definition(spark, monkeypatch, partitions):
+    monkeypatch.setattr(bs, "DRAWS_AT_ONCE", 5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # many score ranges
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        auc_draws_match(spark)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def auc_draws_match(spark):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"lead": 1, "block": rng.integers(0, 4, 80), "y": rng.integers(0, 2, 80), "s": rng.integers(0, 9, 80) / 10})
     df = spark.createDataFrame(pdf)
