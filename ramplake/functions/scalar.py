@@ -75,12 +75,18 @@ def speed_bucket(v: Column, edges: list[float]) -> dict[str, Column]:
 
 
 def interpolate_table(x: Column, xs: Column, ys: Column, n: int) -> Column:
-    """Piecewise-linear map through ascending knots, clamped at both ends; a repeated knot takes its last value."""
-    out = F.when(x >= xs[n - 1], ys[n - 1])
-    for i in range(n - 2, -1, -1):
-        slope = F.try_divide(ys[i + 1] - ys[i], xs[i + 1] - xs[i])
-        out = out.when(x >= xs[i], ys[i] + F.coalesce(slope, F.lit(0.0)) * (x - xs[i]))
-    return out.otherwise(ys[0])
+    """Piecewise-linear map through ascending knots, clamped at both ends; a repeated knot takes its last value.
+
+    The knot below is looked up once and bound to a lambda, so the expression does not grow with the knots.
+    """
+
+    def beyond(k: Column) -> Column:
+        left = F.get(xs, k)
+        slope = F.try_divide(F.get(ys, k + 1) - F.get(ys, k), F.get(xs, k + 1) - left)
+        return F.when(k < 0, F.get(ys, 0)).when(k >= n - 1, F.get(ys, n - 1)).otherwise(F.get(ys, k) + F.coalesce(slope, F.lit(0.0)) * (x - left))
+
+    below = F.size(F.filter(xs, lambda knot: knot <= x)) - 1
+    return F.get(F.transform(F.array(below), beyond), 0)
 
 
 def three_state(value: Column, low: Column, high: Column) -> Column:
