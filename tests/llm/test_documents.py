@@ -1,6 +1,7 @@
 """The other corpus operators against brute force, on a table with nulls, copies, long texts and clashing names."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -11,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from conftest import prose
 from ramplake.llm import licenses, linededup, mixing, quality, rules, runindex, simhash, topk
 from ramplake.llm.common import connected, word_count
 
@@ -127,8 +129,11 @@ def lines_by_brute_force(rows, span=3):
     places = []
     for doc in order:
         numbered = [(i, x) for i, x in enumerate(doc[1].split("\n")) if x.strip(" ")]
-        for s in range(len(numbered) - span + 1):
-            places.append((doc, [i for i, _ in numbered[s : s + span]], tuple(x for _, x in numbered[s : s + span])))
+        for n in range(1, span + 1):
+            for s in range(len(numbered) - n + 1):
+                run = tuple(x for _, x in numbered[s : s + n])
+                if n == span or len(re.findall(r"[^ \t-\r]+", "\n".join(run))) > 50:
+                    places.append((doc, [i for i, _ in numbered[s : s + n]], run))
     for doc, numbers, run in places:
         if run in seen:
             cut[doc].update(numbers)
@@ -156,6 +161,17 @@ def test_line_dedup_other_lengths(spark, messy, messy_rows, gram, window):
         assert r["cleaned"] == want[(r["doc_id"], r["text"])]
 
 
+def test_long_passages_of_one_or_two_lines_go(spark):
+    rng = random.Random(8)
+    one, first, second, short = prose(rng, 51), prose(rng, 30), prose(rng, 21), prose(rng, 50)
+    texts = [f"start\n{one}\nend", f"{first}\n\n{second}", one, f"{short}\nother {short}", f"{first}\t\n{second}", f"new\n{first}\n{second}\nnext", f"{short}\nagain {first}", f"{one}\n{one}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r[0]: r[1] for r in linededup.dedup_lines(docs).select("row.doc_id", "cleaned").collect()}
+    # the fifth has another first line, and a common line of fifty words isn't long enough
+    assert [got[k] for k in range(8)] == [*texts[:2], "", *texts[3:5], "new\nnext", texts[6], ""]
+    assert {d: x for (d, _), x in lines_by_brute_force(list(enumerate(texts)))[0].items()} == got
+
+
 def test_line_dedup_stays_in_the_engine(spark, messy):
     plan = linededup.dedup_lines(messy)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and "Cartesian" not in plan
