@@ -169,29 +169,36 @@ def frequency_forecast(cases: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumns({"p": F.coalesce("p", flat(CLASSES)), "q": F.coalesce("q", flat(TIMING_BINS))})
 
 
-def scalar_ensemble_metrics(df: DataFrame, keys: list[str], members: str, truth: str, m: int, name: str) -> DataFrame:
-    """CRPS, error of the mean, 80 % coverage and width of one scalar of a fixed-size ensemble."""
+def scalar_scores(members: Column, truth: Column, m: int, name: str) -> list[Column]:
+    """CRPS, error of the mean, 80 % coverage and width of a scalar that m members forecast."""
     from ramplake.functions import losses as ls
 
-    mem, y = F.col(members), F.col(truth)
-    low, high = ls.member_quantile(mem, 0.1, m), ls.member_quantile(mem, 0.9, m)
-    mean = F.aggregate(mem, F.lit(0.0), lambda a, v: a + v) / m
-    return df.select(*keys, ls.crps(mem, y, m).alias(f"{name}_crps"), F.abs(mean - y).alias(f"{name}_mae"),
-                     y.between(low, high).cast("int").alias(f"{name}_coverage80"), (high - low).alias(f"{name}_width80"))
+    low, high = ls.member_quantile(members, 0.1, m), ls.member_quantile(members, 0.9, m)
+    mean = F.aggregate(members, F.lit(0.0), lambda a, v: a + v) / m
+    return [ls.crps(members, truth, m).alias(f"{name}_crps"), F.abs(mean - truth).alias(f"{name}_mae"),
+            truth.between(low, high).cast("int").alias(f"{name}_coverage80"), (high - low).alias(f"{name}_width80")]
+
+
+def scalar_ensemble_metrics(df: DataFrame, keys: list[str], members: str, truth: str, m: int, name: str) -> DataFrame:
+    """Scores of one scalar of a fixed-size ensemble."""
+    return df.select(*keys, *scalar_scores(F.col(members), F.col(truth), m, name))
 
 
 def path_ensemble_metrics(df: DataFrame, keys: list[str], members: str, truth: str, m: int, nodes: int = PATH_NODES) -> DataFrame:
-    """Profile CRPS and squared error of member paths, and the scalar metrics of their mean, range and net change."""
+    """Profile CRPS and squared error of member paths, and the scalar scores of their mean, range and net change.
+
+    Row by row: nothing is joined or shuffled.
+    """
     from ramplake.functions import losses as ls
 
-    node = lambda k: F.transform(members, lambda p: p[k])
     y = F.col(truth)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, v: t + v)
-    crps = paths.mean([ls.crps(node(k), y[k], m) for k in range(nodes)])
-    mse = paths.mean([(total(node(k)) / m - y[k]) * (total(node(k)) / m - y[k]) for k in range(nodes)])
-    out = df.select(*keys, members, truth, crps.alias("profile_crps"), mse.alias("profile_mse"))
     shape = {"mean": lambda p: total(p) / nodes, "range": lambda p: F.array_max(p) - F.array_min(p), "net": lambda p: p[nodes - 1] - p[0]}
-    for name, fn in shape.items():
-        scalars = out.select(*keys, F.transform(members, fn).alias("_m"), fn(y).alias("_y"))
-        out = out.join(scalar_ensemble_metrics(scalars, keys, "_m", "_y", m, name), keys)
-    return out.drop(members, truth)
+    # members of each node and shape are columns of their own first, so that no score repeats how they are made
+    across = {f"_n{k}": F.transform(members, lambda p: p[k]) for k in range(nodes)}
+    across |= {f"_m_{n}": F.transform(members, fn) for n, fn in shape.items()} | {f"_y_{n}": fn(y) for n, fn in shape.items()}
+    at = [F.col(f"_n{k}") for k in range(nodes)]
+    crps = paths.mean([ls.crps(c, y[k], m) for k, c in enumerate(at)])
+    mse = paths.mean([F.pow(total(c) / m - y[k], 2) for k, c in enumerate(at)])
+    scalars = [c for n in shape for c in scalar_scores(F.col(f"_m_{n}"), F.col(f"_y_{n}"), m, n)]
+    return df.withColumns(across).select(*keys, crps.alias("profile_crps"), mse.alias("profile_mse"), *scalars)

@@ -119,6 +119,33 @@ en AS (SELECT b, max(CASE WHEN k = 16 THEN a END) AS ae, max(CASE WHEN k = 16 TH
 """
 
 
+_PATH_MEMBERS = 5
+_PATH_SHAPES = {"mean": "avg({0})", "range": "max({0}) - min({0})", "net": "max({0}) FILTER (k = 16) - max({0}) FILTER (k = 0)"}
+
+
+@query("wind_path_metrics", SQL_WIN + f""",
+mem AS (SELECT w.b, g.lag, a.k, f.x AS f, a.x AS y FROM win w CROSS JOIN (SELECT unnest(range(1, {_PATH_MEMBERS + 1})) AS lag) g JOIN win v ON v.b = w.b - 24 * g.lag
+ JOIN node f ON f.b = v.b JOIN node a ON a.b = w.b AND a.k = f.k),
+complete AS (SELECT * FROM mem WHERE b IN (SELECT b FROM mem GROUP BY b HAVING count(DISTINCT lag) = {_PATH_MEMBERS})),
+profile AS (SELECT b, avg(crps) AS profile_crps, avg(mse) AS profile_mse FROM (
+ SELECT b, k, avg(abs(f - y)) - sum((2 * r - {_PATH_MEMBERS + 1}) * f) / {_PATH_MEMBERS ** 2} AS crps, (avg(f) - any_value(y)) ** 2 AS mse
+ FROM (SELECT *, row_number() OVER (PARTITION BY b, k ORDER BY f) AS r FROM complete) GROUP BY b, k) GROUP BY b)""" + "".join(f""",
+shape_{name} AS (SELECT b, lag, {sql.format("f")} AS f, {sql.format("y")} AS y FROM complete GROUP BY b, lag),
+score_{name} AS (SELECT b, avg(abs(f - y)) - sum((2 * r - {_PATH_MEMBERS + 1}) * f) / {_PATH_MEMBERS ** 2} AS {name}_crps, abs(avg(f) - any_value(y)) AS {name}_mae,
+ (any_value(y) BETWEEN quantile_cont(f, 0.1) AND quantile_cont(f, 0.9))::BIGINT AS {name}_coverage80, quantile_cont(f, 0.9) - quantile_cont(f, 0.1) AS {name}_width80
+ FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY f) AS r FROM shape_{name}) GROUP BY b)""" for name, sql in _PATH_SHAPES.items()) + """
+SELECT b, round(profile_crps, 6) AS profile_crps, round(profile_mse, 6) AS profile_mse, """ + ", ".join(
+    f"round({n}_crps, 6) AS {n}_crps, round({n}_mae, 6) AS {n}_mae, {n}_coverage80, round({n}_width80, 6) AS {n}_width80" for n in _PATH_SHAPES) + """
+FROM profile JOIN score_mean USING (b) JOIN score_range USING (b) JOIN score_net USING (b)""")
+def _(spark, sf):
+    """Every window, forecast by the paths of the same hour on the days before it."""
+    win = base.windows(spark, sf).select("b", "path")
+    past = win.select(F.explode(F.array(*[F.struct((F.col("b") + 24 * k).alias("b"), F.lit(k).alias("lag")) for k in range(1, _PATH_MEMBERS + 1)])).alias("to"), "path")
+    members = past.groupBy("to.b").agg(F.array_sort(F.collect_list(F.struct("to.lag", "path"))).alias("s")).filter(F.size("s") == _PATH_MEMBERS)
+    both = win.withColumnRenamed("path", "truth").join(members.select("b", F.col("s.path").alias("members")), "b")
+    return rounded(scoring.path_ensemble_metrics(both, ["b"], "members", "truth", _PATH_MEMBERS))
+
+
 def _path_pairs(spark, sf):
     farm = base.farm(spark, sf)
     win = base.windows(spark, sf).select("b", F.col("path").alias("actual"))

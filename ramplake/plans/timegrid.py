@@ -309,6 +309,12 @@ def _(spark, sf):
     return tg.window_filter(_samples(spark, sf), "avg")
 
 
+@query("window_filter_point", _SAMPLE + """
+SELECT CASE WHEN NOT is_contiguous THEN 'gap' WHEN NOT is_input_complete THEN 'input' ELSE 'kept' END AS reason, count(*) AS windows FROM samples GROUP BY 1""")
+def _(spark, sf):
+    return tg.window_filter(_samples(spark, sf), "point")
+
+
 @query("stage_stats", SQL_RAW + """,
 st AS (SELECT (us - lag(us) OVER (ORDER BY us)) / 60000000 AS step FROM (SELECT DISTINCT us FROM raw))
 SELECT (SELECT count(*) FROM raw) AS n_rows, (SELECT count(DISTINCT us) FROM raw) AS n_times, (SELECT count(DISTINCT unit) FROM raw) AS n_units,
