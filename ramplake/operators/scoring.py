@@ -99,6 +99,20 @@ def reliability(df: DataFrame, keys: list[str], p: str, y: str, bins: int = 10)
     return out.withColumn("abs_gap", F.abs(F.col("mean_pred") - F.col("obs_rate")))
 
 
+def reliability_between(df: DataFrame, keys: list[str], p: str, y: str, edges: list[float]) -> DataFrame:
+    """Reliability in bins between given edges: each has its lower edge, the last one also an upper edge of one.
+
+    Forecasts that are in no bin, null ones too, are left out; a bin without forecasts has no row.
+    """
+    below = sum((F.when(F.col(p) >= e, 1).otherwise(0) for e in edges), F.lit(0))
+    last = len(edges) - 2
+    bin = F.when((F.lit(edges[-1]) >= 1) & (F.col(p) == edges[-1]), last).otherwise(below - 1)
+    inside = df.withColumn("bin", bin).filter(F.col("bin").between(0, last) & F.col(p).isNotNull() & ~F.isnan(p))
+    out = inside.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.avg(p).alias("mean_pred"), F.avg(F.col(y).cast("double")).alias("obs_rate"))
+    low, high = (F.get(F.array(*map(F.lit, ends)), "bin") for ends in (edges[:-1], edges[1:]))
+    return out.withColumns({"bin_low": low, "bin_high": high, "abs_gap": F.abs(F.col("mean_pred") - F.col("obs_rate"))}).drop("bin")
+
+
 def auroc(df: DataFrame, keys: list[str], y: str, score: str) -> DataFrame:
     """Area under the ROC curve with half weight for ties, from counts per distinct score."""
     from ramplake.operators.chunks import equal_chunks, running

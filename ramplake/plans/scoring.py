@@ -191,6 +191,18 @@ def _(spark, sf):
     return rounded(scoring.reliability(r, ["arm"], "pd", "ev"))
 
 
+_EDGES = [0.0, 0.05, 0.1, 0.2, 0.4, 0.7, 1.0]
+
+
+@query("reliability_between_edges", SQL_FC + """, r AS (SELECT arm, p[3] + p[4] AS pd, (arr < 16)::INT AS ev FROM fc),
+e AS (SELECT * FROM (VALUES """ + ", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a, b in zip(_EDGES, _EDGES[1:])) + """) t(lo, hi))
+SELECT arm, lo AS bin_low, hi AS bin_high, count(*) AS n, round(avg(pd), 6) AS mean_pred, round(avg(ev), 6) AS obs_rate, round(abs(avg(pd) - avg(ev)), 6) AS abs_gap
+FROM r JOIN e ON pd >= lo AND (pd < hi OR (hi >= 1 AND pd = hi)) GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    r = base.forecasts(spark, sf).select("arm", (F.col("p")[2] + F.col("p")[3]).alias("pd"), (F.col("arr") < 16).cast("int").alias("ev"))
+    return rounded(scoring.reliability_between(r, ["arm"], "pd", "ev", _EDGES))
+
+
 @query("probability_bias", SQL_FC + "\nSELECT arm, split, y::BIGINT AS y, count(*) AS n, round(avg(p[4]), 6) AS mean_p, round(avg(p[4]) - avg((y = 3)::INT), 6) AS bias FROM fc GROUP BY 1, 2, 3")
 def _(spark, sf):
     fc = base.forecasts(spark, sf)

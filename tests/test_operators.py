@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ramplake.functions import losses as ls, paths
-from ramplake.operators import bootstrap as bs, detect as dt, joins, models as md, qc, stations as stn, timegrid as tg
+from ramplake.operators import bootstrap as bs, detect as dt, joins, models as md, qc, scoring, stations as stn, timegrid as tg
 
 MIN = 60_000_000
 
@@ -225,3 +225,13 @@ def test_interpolation_outside(spark):
     nodes = spark.createDataFrame([("u", 10 * hour), ("u", 10 * hour + hour // 4), ("u", 11 * hour), ("u", 11 * hour + 1)], "unit string, us long")
     assert [r.v for r in joins.interpolate_hourly(nodes, src, ["unit"], "us", ["v"]).orderBy("us").collect()] == [1.0, 1.5, 3.0, None]
     assert [r.v for r in joins.interpolate_irregular(nodes, src, ["unit"], "us", "v", "clamp").orderBy("us").collect()] == [1.0, 1.5, 3.0, 3.0]
+
+
+def test_reliability_edges_hold_their_lower_end(spark):
+    nan = float("nan")
+    rows = [(0.0, 0), (0.2, 1), (0.5, 1), (0.9, 0), (1.0, 1), (1.2, 1), (-0.1, 0), (nan, 1), (None, 1)]
+    df = spark.createDataFrame(rows, "p double, y int")
+    counts = lambda edges: {(r["bin_low"], r["bin_high"]): r["n"] for r in scoring.reliability_between(df, [], "p", "y", edges).collect()}
+    assert counts([0.0, 0.2, 0.5, 1.0]) == {(0.0, 0.2): 1, (0.2, 0.5): 1, (0.5, 1.0): 3}
+    assert counts([0.2, 0.5, 0.9]) == {(0.2, 0.5): 1, (0.5, 0.9): 1}  # an upper edge below one isn't in its bin
+    assert scoring.reliability_between(df.filter("false"), [], "p", "y", [0.0, 1.0]).collect() == []
