@@ -49,11 +49,14 @@ def regularize(
     raw = df.select(*keys, clock.alias("_us"), F.col(value).cast("double").alias("_x"), flag.alias("_ok"), first.alias("_o"))
     raw = raw.withColumn("b", bin_of("_us", minutes)).withColumn("_x", F.nanvl("_x", F.lit(None).cast("double")))
     stamps = raw.repartition(*keys, "b").groupBy(*keys, "b", "_us").agg(
-        F.count("*").alias("_copies"), F.min_by("_x", "_o").alias("_x"), F.bool_and("_ok").alias("_ok")
+        F.count("*").alias("_copies"), F.min_by("_x", "_o").alias("_x"), F.bool_and("_ok").alias("_ok"), F.min("_o").alias("_o")
     )
     good = (F.col("_copies") == 1) & F.col("_ok") & F.col("_x").isNotNull()
+    # the running sum adds in the given order, so that the mean's last bit doesn't hang on the order of arrival
+    placed = W.partitionBy(*keys, "b").orderBy("_o", "_us").rowsBetween(W.unboundedPreceding, W.currentRow)
+    stamps = stamps.withColumns({"_sum": F.sum(F.when(good, F.col("_x"))).over(placed), "_n": F.count("*").over(placed)})
     bins = stamps.groupBy(*keys, "b").agg(
-        F.avg(F.when(good, F.col("_x"))).alias("x"),
+        F.try_divide(F.max_by("_sum", "_n"), F.count_if(good)).alias("x"),
         F.count_if(good).alias("n_valid"),
         F.count("*").alias("n_total"),
         F.sum(F.when(F.col("_copies") > 1, F.col("_copies")).otherwise(0)).alias("duplicate_rows"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,8 +30,18 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns(ntz) if ntz else df
 
 
+def half_away(x: Column, scale: float) -> Column:
+    """Nearest multiple of 1/scale; values too large to scale stay."""
+    whole = F.round(x * scale, 0) / scale
+    return F.when(F.isnan(whole) | (F.abs(whole) == float("inf")), x).otherwise(whole)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round floating columns, so that the order of additions cannot show."""
-    cols = {c: F.round(F.col(c).cast("double"), digits) for c, t in df.dtypes if t in ("double", "float")}
+    """Round floating columns as the SQL's ``round`` does: the scaled double to a whole number, halves away from zero.
+
+    ``F.round`` rounds the shortest decimal form instead, and differs where a value stands half-way between two results.
+    """
+    scale = 10.0 ** digits
+    cols = {c: half_away(F.col(c).cast("double"), scale) for c, t in df.dtypes if t in ("double", "float")}
     ints = {c: F.col(c).cast("long") for c, t in df.dtypes if t in ("int", "smallint", "tinyint")}
     return df.withColumns({**cols, **ints}) if cols or ints else df
