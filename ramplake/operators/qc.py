@@ -96,8 +96,10 @@ def tag_high_ramp(farm: DataFrame, keys: list[str], x: str = "x", fraction: floa
 
 def farm_features(units: DataFrame, time: str, power: str, wind: str) -> DataFrame:
     """Sums, means, complete-unit counts, ratio, step and rolling features of the farm."""
+    # added in ascending order: a bin has a value a unit, and the sum's last bit must not hang on the order of arrival
+    total = F.aggregate(F.array_sort(F.collect_list(F.col(power).cast("double"))), F.lit(0.0), lambda a, v: a + v)
     farm = units.groupBy(time).agg(
-        F.coalesce(F.sum(power), F.lit(0.0)).alias("power"), F.avg(wind).alias("wind"), F.count(power).alias("complete_units"), F.count("*").alias("rows"))
+        total.alias("power"), F.avg(wind).alias("wind"), F.count(power).alias("complete_units"), F.count("*").alias("rows"))
     farm = farm.withColumn("_k", F.lit(0))
     def cols(w):
         f3 = w.rangeBetween(-2, 0)
