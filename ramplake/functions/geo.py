@@ -32,8 +32,10 @@ def wind_uv(speed_kmh: Column, direction_deg: Column) -> tuple[Column, Column]:
 
 
 def speed_dir(u: Column, v: Column) -> dict[str, Column]:
-    angle = F.atan2(v, u)
-    return {"speed": F.hypot(u, v), "dir_rad": angle, "dir_sin": F.sin(angle), "dir_cos": F.cos(angle)}
+    """A vector without length has no direction: its sine and cosine are NaN."""
+    angle, still = F.atan2(v, u), (u == 0) & (v == 0)
+    part = lambda value: F.when(still, F.lit(float("nan"))).otherwise(value)
+    return {"speed": F.hypot(u, v), "dir_rad": angle, "dir_sin": part(F.sin(angle)), "dir_cos": part(F.cos(angle))}
 
 
 def parse_degrees(text: Column) -> Column:
