@@ -83,8 +83,8 @@ def select_constrained(scores: DataFrame, groups: list[str], primary: str, guard
 
 
 def select_lambda(scores: DataFrame, value: str, strength: str) -> DataFrame:
-    """Smallest mean score; the larger strength on ties."""
-    return scores.orderBy(value, F.desc(strength)).limit(1)
+    """Smallest mean score; the larger strength on ties. A strength without a score comes after all that have one."""
+    return scores.orderBy(F.asc_nulls_last(value), F.desc(strength)).limit(1)
 
 
 def target_route(forecasts: DataFrame, state_arm: str, timing_arm: str, keys: list[str]) -> DataFrame:
