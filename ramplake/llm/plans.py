@@ -50,9 +50,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_curriculum_mix", mixing.ORACLE)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = cut_lineage(load(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("words")))
-    mixed = mixing.mix(sizes, size=F.col("words"))
-    return mixed.select("doc.doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"))
+    sizes = cut_lineage(load(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("words"), F.monotonically_increasing_id().alias("row")))
+    mixed = cut_lineage(mixing.mix(sizes, size=F.col("words")))
+    # what a document gives to the mix is read from the rows in training order, one for each time that it is taken
+    ordered = cut_lineage(mixing.in_training_order(mixed))
+    taken = ordered.groupBy("doc.row").agg(F.count("*").alias("copies"), F.min("position").alias("position"))
+    found = mixed.withColumn("row", F.col("doc.row")).join(taken, "row", "left")
+    return found.select("doc.doc_id", "size", "source_size", "target", (F.coalesce("copies", F.lit(0)) * F.col("size")).alias("taken"), "position")
 
 
 @query("op6_token_records")
