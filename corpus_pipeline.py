@@ -34,7 +34,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id stays, as it is."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id stays, as
+    it is. Fingerprints that op3's index matches are compared exactly; pairs too far apart for it are found by a prefix filter."""
     return jaccard.keep_first(docs)
 
 

@@ -1,13 +1,17 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: all pairs at the threshold or above are found.
+"""Near-duplicates by a SimHash index and exact Jaccard similarity of word shingles: no pair at the threshold is missed.
 
-A text is the set of hashes of its five-word shingles. Under any one order of all shingles, two sets of similarity 0.8 or
-more share one of the first n // 5 + 1 shingles of each (the prefix filter), so sets filed under those meet in a bucket,
-without exception. The order puts shingles that a sample of texts finds often last: common passages make no buckets but
-for texts that consist of them.
+A text is the set of hashes of its five-word shingles, and has the fingerprint that simhash gives it. The index of simhash
+finds the texts whose fingerprints are equal or within two bits; their sets are compared exactly, and what passes is linked.
 
-Each set is first compared with one other: the one that stands first in most of its buckets. What that links is one
-component. Then all pairs of a bucket that are still in different components, of sizes, parities and common prefixes that
-can reach the threshold, are compared. A large group of near copies is few components by then, so few of its pairs are
+Most pairs at the threshold differ by three to eleven bits. Segments of 64 bits that hold so many make buckets that grow
+with the table, so the links beyond two bits are found by the sets themselves. Under any one order of all shingles, two
+sets of similarity 0.8 or more share one of the first n // 5 + 1 shingles of each (the prefix filter), so sets filed under
+those meet in a bucket, without exception. The order puts shingles that a sample of texts finds often last: common
+passages make no buckets but for texts that consist of them.
+
+With the matches of the index, each set is first compared with one other: the one that stands first in most of its
+buckets. What that links is one component. Then all pairs of a bucket that are still in different components, of sizes,
+parities and common prefixes that can reach the threshold, are compared. A large group of near copies is few components by then, so few of its pairs are
 formed. The parities of a set are PARITIES bits, each flipped by every hash that falls on it: where two sets' bits differ,
 some hash is in one set only, so the bits that differ are a lower bound of the hashes that do, and a pair beyond the
 threshold is dropped inside the join, before it is a row. Every comparison is exact, and no bucket is capped; the square
@@ -24,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ramplake.llm import simhash
 from ramplake.llm.common import connected, cut_lineage, slices, unpacked, whole_row
 
 #: Similarity of 0.8: 9 x common >= 4 x (size + size), and a prefix of n // 5 + 1.
@@ -70,8 +75,8 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(rows: DataFrame) -> DataFrame:
-    """Columns doc_id, h, key (a hash of the whole set), n (its size), prefix and parity (words of bits) for every row of
-    columns doc_id, h, text."""
+    """Columns doc_id, h, key (a hash of the whole set), n (its size), fp (the text's fingerprint), prefix and parity (words of bits)
+    for every row of columns doc_id, h, text."""
     common, often = common_shingles(rows)
 
     def prefix(found: np.ndarray) -> np.ndarray:
@@ -86,10 +91,11 @@ def prefixes(rows: DataFrame) -> DataFrame:
                 found = [shingles(t) for t in texts]
                 keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found], np.uint64).view(np.int64)
                 sizes = pa.array([len(x) for x in found], pa.int32())
-                columns = [part.column(0), part.column(1), pa.array(keys), sizes, lists([prefix(x) for x in found]), lists([parities(x) for x in found])]
-                yield pa.record_batch(columns, ["doc_id", "h", "key", "n", "prefix", "parity"])
+                prints = pa.array(np.array([simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64))
+                columns = [part.column(0), part.column(1), pa.array(keys), sizes, prints, lists([prefix(x) for x in found]), lists([parities(x) for x in found])]
+                yield pa.record_batch(columns, ["doc_id", "h", "key", "n", "fp", "prefix", "parity"])
 
-    return rows.mapInArrow(run, "doc_id long, h long, key long, n int, prefix array<long>, parity array<long>")
+    return rows.mapInArrow(run, "doc_id long, h long, key long, n int, fp long, prefix array<long>, parity array<long>")
 
 
 def prefix_length(n: Column) -> Column:
@@ -153,6 +159,16 @@ def rooted(links: DataFrame) -> DataFrame:
         roots = step.select("key", "root")
 
 
+def indexed_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys whose fingerprints the SimHash index matches: of two bits at most between the least keys of two
+    fingerprints, and of each other key with the least one of its own fingerprint."""
+    least = cut_lineage(sets.groupBy("fp").agg(F.min("key").alias("low")))
+    links = simhash.near_links(least.select("fp"))
+    ends = [least.select(F.col("fp").alias(c), F.col("low").alias(f"low_{c}")) for c in "ab"]
+    near = links.join(ends[0], "a").join(ends[1], "b").select(F.col("low_a").alias("a"), F.col("low_b").alias("b"))
+    return near.union(sets.select("fp", "key").join(least, "fp").filter("key <> low").select("low", "key"))
+
+
 def near_groups(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Columns key and root: keys with equal roots are those that pairs of similarity 0.8 or more connect; a key without
     a row is its own root."""
@@ -161,12 +177,21 @@ def near_groups(rows: DataFrame, sets: DataFrame) -> DataFrame:
     shared = cut_lineage(filed.withColumn("m", F.count("*").over(W.partitionBy("g"))).filter("m > 1"))
     # the set that meets most others stands first in its buckets; each set is compared with the one it meets so most often.
     # A hub stands before its set in one order of all sets, so links never form a ring
-    scored = shared.join(shared.groupBy("key").agg(F.sum("m").alias("score")), "key")
+    scores = cut_lineage(shared.groupBy("key").agg(F.sum("m").alias("score")))
+    scored = shared.join(scores, "key")
     first = F.first("key").over(W.partitionBy("g").orderBy(F.desc("score"), "key"))
     often = scored.select("key", first.alias("hub")).filter("key <> hub").groupBy("key", "hub").agg(F.count("*").alias("c"))
     best = often.groupBy("key").agg(F.max(F.struct("c", "hub")).alias("best")).select("key", "best.hub", "best.c").join(sizes, "key")
-    likely = best.filter(5 * F.col("c") >= 2 * prefix_length(F.col("n")))
-    roots = rooted(verified(likely.select(F.col("hub").alias("a"), F.col("key").alias("b")), rows, sets))
+    likely = best.filter(5 * F.col("c") >= 2 * prefix_length(F.col("n"))).select(F.col("hub").alias("a"), F.col("key").alias("b"))
+    # matches of the index in the same order; sets that meet nobody in a bucket are below the threshold with all others
+    order = [scores.select(F.col("key").alias(c), F.struct((-F.col("score")).alias("score"), "key").alias(f"at_{c}")) for c in "ab"]
+    matched = indexed_pairs(sets).join(order[0], "a").join(order[1], "b")
+    ends = F.least("at_a", "at_b"), F.greatest("at_a", "at_b")
+    links = verified(likely.union(matched.select(ends[0]["key"].alias("a"), ends[1]["key"].alias("b"))), rows, sets)
+    roots = rooted(links.groupBy("b").agg(F.min("a").alias("a")))
+    # a set may have several matches; those that its one way to a root leaves out count below
+    tops = [roots.select(F.col("key").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
+    others = links.join(tops[0], "a", "left").join(tops[1], "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
 
     named = shared.select("g", "key").join(sizes, "key").join(roots, "key", "left").select("g", "key", "n", F.coalesce("root", "key").alias("root"))
     named = cut_lineage(named)
@@ -182,7 +207,7 @@ def near_groups(rows: DataFrame, sets: DataFrame) -> DataFrame:
     asked = cut_lineage(met.filter(enough).select(F.col("key").alias("a"), F.col("key_2").alias("b"), "root", "root_2"))
     # what the first links connect is one node by now
     between = asked.join(verified(asked.select("a", "b"), rows, sets), ["a", "b"]).select(F.col("root").alias("a"), F.col("root_2").alias("b"))
-    tops = connected(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    tops = connected(between.union(others.filter("a <> b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
     every = sets.select("key").join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"))
     return every.join(tops, "root", "left").select("key", F.coalesce("top", "root").alias("root"))
 
@@ -194,9 +219,12 @@ def keep_first(docs: DataFrame, *, text: str = "text", doc: str = "doc_id") -> D
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     found = prefixes(rows)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
-    sets = found.groupBy("key").agg(F.min(place).alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
-    sets = cut_lineage(sets.select("key", "n", "prefix", "parity", "least", F.struct("least.doc_id", "least.h").alias("place")))
-    first = sets.select("key", "least").join(near_groups(rows, sets), "key").groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.h")
-    own = docs.select(whole_row(docs).alias("row"), F.col(doc).cast("long").alias("own"), F.xxhash64(text).alias("hash"))
-    left = own.join(first, F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("h")), "left_semi").dropDuplicates(["own", "hash"])
+    sets = found.groupBy("key").agg(F.min(place).alias("least"), F.first("n").alias("n"), F.min_by("fp", place).alias("fp"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
+    sets = cut_lineage(sets.select("key", "n", "fp", "prefix", "parity", "least", F.struct("least.doc_id", "least.h").alias("place")))
+    first = sets.select("key", "least").join(near_groups(rows, sets), "key").groupBy("root").agg(F.min("least").alias("least"))
+    # by one struct of the same type, in which null ids are equal (no hash is null): a sorted join and the choice among
+    # repeated rows share one shuffle of the rows
+    own = docs.select(whole_row(docs).alias("row"), F.struct(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(text).alias("h")).alias("own"))
+    kept = first.select(F.struct("least.doc_id", F.coalesce("least.h", F.lit(0)).alias("h")).alias("kept"))
+    left = own.join(kept, F.col("own") == F.col("kept"), "left_semi").dropDuplicates(["own"])
     return unpacked(left, "row", docs.columns)
