@@ -31,16 +31,19 @@ def bin_label(b: str | Column, minutes: int, label: str = "left") -> Column:
 
 def regularize(
     df: DataFrame, keys: list[str], us: str, value: str, valid: str | None, minutes: int, *,
-    native_minutes: int | None = None, min_count: int | None = None, position: str = "start", order: str | None = None,
+    native_minutes: int | None = None, min_count: int | None = None, position: str = "start", order: str | None = None, repeats: str = "invalid",
 ) -> DataFrame:
     """Bin raw samples; a bin is usable only with enough good samples and none bad.
 
     With ``native_minutes`` every expected native sample must be present and valid; ``min_count`` is the rule
-    for irregular arrivals. All copies of a repeated timestamp are invalid. End-labelled sources are moved back
+    for irregular arrivals. All copies of a repeated timestamp are invalid; with ``repeats='samples'`` each row is a
+    sample of its own, as events that only happen to share an instant. End-labelled sources are moved back
     by one native period. One shuffle on (keys, bin) serves both aggregations.
     """
     if position not in ("start", "end", "unverified"):
         raise ValueError("unknown timestamp position")
+    if repeats not in ("invalid", "samples"):
+        raise ValueError("unknown rule for repeated timestamps")
     if native_minutes is not None and (minutes < native_minutes or minutes % native_minutes):
         raise ValueError("only whole-factor downsampling is supported")
     clock = F.col(us) - (native_minutes * MINUTE_US if position == "end" and native_minutes else 0)
@@ -48,12 +51,15 @@ def regularize(
     first = F.col(order) if order else F.col(value)
     raw = df.select(*keys, clock.alias("_us"), F.col(value).cast("double").alias("_x"), flag.alias("_ok"), first.alias("_o"))
     raw = raw.withColumn("b", bin_of("_us", minutes)).withColumn("_x", F.nanvl("_x", F.lit(None).cast("double")))
-    stamps = raw.repartition(*keys, "b").groupBy(*keys, "b", "_us").agg(
-        F.count("*").alias("_copies"), F.min_by("_x", "_o").alias("_x"), F.bool_and("_ok").alias("_ok"), F.min("_o").alias("_o")
-    )
+    if repeats == "invalid":
+        stamps = raw.repartition(*keys, "b").groupBy(*keys, "b", "_us").agg(
+            F.count("*").alias("_copies"), F.min_by("_x", "_o").alias("_x"), F.bool_and("_ok").alias("_ok"), F.min("_o").alias("_o")
+        )
+    else:
+        stamps = raw.withColumn("_copies", F.lit(1))
     good = (F.col("_copies") == 1) & F.col("_ok") & F.col("_x").isNotNull()
     # the running sum adds in the given order, so that the mean's last bit doesn't hang on the order of arrival
-    placed = W.partitionBy(*keys, "b").orderBy("_o", "_us").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = W.partitionBy(*keys, "b").orderBy("_o", "_us", "_x").rowsBetween(W.unboundedPreceding, W.currentRow)
     stamps = stamps.withColumns({"_sum": F.sum(F.when(good, F.col("_x"))).over(placed), "_n": F.count("*").over(placed)})
     bins = stamps.groupBy(*keys, "b").agg(
         F.try_divide(F.max_by("_sum", "_n"), F.count_if(good)).alias("x"),
